@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +126,14 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of ``texts`` in order, and where each text's words end in them.
+class Words(NamedTuple):
+    hashes: np.ndarray  # of all words in order
+    stops: np.ndarray  # where each text's words end in them
+    ends: np.ndarray  # the last two bytes of each word (the last first), upper case kept; 0 if it has one
+
+
+def words_of(texts: list[bytes | None], lower: bool = True) -> Words:
+    """64-bit hashes of all words of ``texts``.
 
     A word's hash is a polynomial over random 64-bit letters, from one running sum over the bytes: no
     Python object is made per word. Words differ in hash but for a chance of about 2**-57 a pair.
@@ -142,4 +149,10 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     before = np.where(first > 0, sums[first - 1], _U(0))
     hashes = mix((sums[last - 1] - before) * down[first])
     stops = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
-    return hashes, np.searchsorted(first, stops)
+    ends = joined[last - 1].astype(np.int64) * 256 + np.where(last - first > 1, joined[last - 2], 0)
+    return Words(hashes, np.searchsorted(first, stops), ends)
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    found = words_of(texts, lower)
+    return found.hashes, found.stops

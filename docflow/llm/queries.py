@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, quality
 from .decontaminate import contaminated
+from .language_model import lm_scores
 from .minhash import near_duplicates
 from .token_counts import token_counts
 from .token_store import store_round_trip
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
@@ -42,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_quality_rules, op6_decontaminate, op7_token_store, op8_mix_sources, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_near_dedup, op5_quality_rules, op6_decontaminate, op7_token_store, op8_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
