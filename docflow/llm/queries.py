@@ -10,6 +10,7 @@ from . import mixing, quality
 from .decontaminate import contaminated
 from .language_model import lm_scores
 from .minhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_store import store_round_trip
 
@@ -42,12 +43,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_near_dedup, op5_quality_rules, op6_decontaminate, op7_token_store, op8_mix_sources, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_near_dedup, op5_quality_rules, op6_decontaminate, op7_token_store, op8_mix_sources, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
