@@ -4,21 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docflow.llm import mixing, quality
+from docflow.llm.common import Scratch
+from docflow.llm.decontaminate import contaminated
 from docflow.llm.minhash import near_duplicates
+from docflow.llm.token_store import store_round_trip
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that policy v1 keeps. The verdict is a condition on the row itself, so nothing is joined."""
+    return quality.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
     keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with their calibrated probabilities."""
+    drawn = mixing.mix(docs).where("sampled").select("doc_id").distinct()
+    return docs.join(drawn, "doc_id", "left_semi").select(*docs.columns)
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+
+def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in a token store, as read back from its files."""
+    return store_round_trip(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_store", token_store),
+]
+#: Near-duplicate components and tokenization have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docflow.llm.common import Scratch
-
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)

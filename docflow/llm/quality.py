@@ -11,6 +11,7 @@ null ids stay as they are; an empty table gives an empty table; other columns ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -96,10 +97,22 @@ def mask(policy: str | list[str]) -> int:
     return sum(BIT[r] for r in (POLICIES[policy] if isinstance(policy, str) else policy))
 
 
+_FIELDS = {"n_words": "w.n_words", "n_dup_lines": "l.n_dup_lines", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines"}
+
+
+def kept_rows(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """All columns of ``docs`` (with a text column) for the rows that ``policy`` keeps, which is a condition on the row itself."""
+    named = "_quality_measurements"
+    judged = docs.withColumn(named, F.explode(F.array(measurements(F.col("text")))))
+    flat = judged.select("*", F.struct(*[F.col(f"{named}.{_FIELDS.get(c, c)}").alias(c) for c in MEASURES]).alias(named + "_"))
+    failed = [re.sub(r"\b(n_[a-z_]+|word_chars)\b", rf"{named}_.\1", RULES[r]) for r in dict.fromkeys(POLICIES["base"] + POLICIES[policy])]
+    return flat.where("not (" + " or ".join(f"({f})" for f in failed) + ")").select(*docs.columns)
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, measurements, fail_bits) for every row of ``docs`` (doc_id, text)."""
     made = docs.select(F.col("doc_id"), F.explode(F.array(measurements(F.col("text")))).alias("m"))
-    flat = made.select("doc_id", "m.w.n_words", "m.word_chars", "m.n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines", "m.n_capitals", "m.n_shouts")
+    flat = made.select("doc_id", *[F.col(f"m.{_FIELDS.get(c, c)}").alias(c) for c in MEASURES])
     bits = " + ".join(f"if({rule}, {BIT[name]}L, 0L)" for name, rule in RULES.items())
     return flat.withColumn("fail_bits", F.expr(bits))
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import mixing, quality, url_filter
 from .decontaminate import contaminated
+from .html_extract import main_text
 from .language_model import lm_scores
 from .minhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -27,6 +28,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")))
 
@@ -52,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_near_dedup, op5_quality_rules, op6_decontaminate, op7_token_store, op8_mix_sources, op9_suffix_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_minhash_near_dedup, op3_url_filters, op4_html_extraction, op5_quality_rules, op6_decontaminate, op7_token_store, op8_mix_sources, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
