@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,38 +43,51 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 1024  # ids
 SEEN = 1 << 16  # digests a task remembers, to drop its repeats before the shuffle
 
-#: Spaces beside which a cut at single spaces may not be a cut between tokens: space runs, and white space outside ASCII.
-ODD_SPACE = re.compile(rb" [\t-\r ]|[\t-\r] | \Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+#: Spaces beside which a cut at single spaces may not be a cut between tokens: next to other white space, and white space outside ASCII.
+ODD_ASCII = [a + b for a in (b" ",) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")] + [b + b" " for b in (b"\n", b"\t", b"\r", b"\x0b", b"\x0c")] + [b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+ODD_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+ODD_PUNCTUATION = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+
+
+def odd_spaces(text: bytes) -> bool:
+    if text.endswith(b" ") or any(x in text for x in ODD_ASCII):
+        return True
+    return not text.isascii() and (any(x in text for x in ODD_WIDE) or b"\xe2\x80" in text and ODD_PUNCTUATION.search(text) is not None)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+SPACE = vocab.spelled(" ")
 
 
 class PieceIds(vocab.Remembered):
     """Packed ids of ``b" " + piece``; a key that begins with a space stands for the piece without it."""
 
     def __init__(self, file: str):
-        super().__init__()
+        super().__init__(1 << 19)
         self.tokenizer = vocab.load(file)
-        self.ends: dict[str, list[int]] = {"": []}
+        self.merge = self.tokenizer.model.tokenize
 
     def compute(self, piece: bytes) -> bytes:
-        text = piece[1:].decode() if piece[:1] == b" " else " " + piece.decode()
-        plain = vocab.PLAIN.fullmatch(text, text.startswith(" "))
+        bare = piece[:1] == b" "
+        text = piece[1:].decode() if bare else piece.decode()
+        plain = vocab.PLAIN.fullmatch(text)
         if not plain:
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        word, end = plain.groups()
-        merge = self.tokenizer.model.tokenize
-        if end not in self.ends:
-            if len(self.ends) > 1 << 14:
-                self.ends = {"": []}
-            self.ends[end] = [t.id for t in merge(vocab.spelled(end))]
-        head = vocab.spelled(" " + word if text.startswith(" ") else word)
-        return _packed([t.id for t in merge(head)] + self.ends[end])
+            return _packed(self.tokenizer.encode(text if bare else " " + text, add_special_tokens=False).ids)
+        end = plain[2]
+        if end and plain[1]:
+            # Punctuation after a word is a pre-token of its own, so the word is looked up by itself.
+            return self[piece[: -len(end)]] + self[b" " + end.encode()]
+        head = text if text.isascii() else vocab.spelled(text)
+        return _packed([t.id for t in self.merge(head if bare else SPACE + head)])
 
     def text(self, text: bytes) -> bytes:
-        if ODD_SPACE.search(text):
+        if odd_spaces(text):
             return _packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         first, *rest = text.split(b" ")
         head = self[b" " + first] if first else b""

@@ -14,7 +14,7 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Letters that are letters in every Unicode version and composed by themselves; U+0130 is not, in lower case.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)|([!-&(-/:-@\[-`{-~]+)")
 LONG = 64  # longer pieces are not remembered
 
 
