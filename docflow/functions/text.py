@@ -46,8 +46,10 @@ def collapse(text: Column) -> Column:
 
 def utf16_prefix(text: Column, units: int) -> Column:
     """The first ``units`` UTF-16 units; half of a surrogate pair at the cut is dropped."""
-    short = F.decode(F.substring(F.encode(text, "UTF-16BE"), 1, 2 * units), "UTF-16BE")
-    return F.when(F.length(text) == utf16_length(text), F.substring(text, 1, units)).otherwise(F.regexp_replace(short, r"\x{fffd}$", ""))
+    wide = F.encode(text, "UTF-16BE")
+    split = F.hex(F.substring(wide, 2 * units - 1, 1)).between("D8", "DB") & (F.octet_length(wide) > 2 * units)
+    short = F.decode(F.when(split, F.substring(wide, 1, 2 * units - 2)).otherwise(F.substring(wide, 1, 2 * units)), "UTF-16BE")
+    return F.when(F.length(text) == utf16_length(text), F.substring(text, 1, units)).otherwise(short)
 
 
 def decode_utf8(content: Column) -> Column:
