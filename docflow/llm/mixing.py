@@ -50,25 +50,30 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return totals.join(F.broadcast(whole)).select(dimension, (F.col("t") / F.col("whole")).alias("target"))
 
 
-def fit(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int = SWEEPS, tolerance: float = 1e-9) -> DataFrame:
+def fit(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int = SWEEPS, tolerance: float = 1e-9, broadcast_cells: int = 1 << 16) -> DataFrame:
     """``cells`` (the dimensions, mass) with ``weight``. Ends after ``sweeps`` or once no factor of a sweep is off 1 by more than ``tolerance``.
 
-    Classes without a target keep their weight; a class with a target and no mass is left out.
+    Classes without a target keep their weight; a class with a target and no mass is left out. Class totals
+    are no more than cells, so they are broadcast if the cells are counted to be few, else joined by shuffle.
     """
-    now = scratch.keep(cells.withColumn("weight", F.lit(1.0)).withColumn("off", F.lit(0.0)), "cells")
+    start = cells
+    for name, target in targets.items():
+        start = start.join(target.select(name, F.col("target").alias(f"target_{name}")), name, "left")
+    now = scratch.keep(start.withColumn("weight", F.lit(1.0)).withColumn("off", F.lit(0.0)), "cells")
+    few = now.limit(broadcast_cells + 1).count() <= broadcast_cells
     for _ in range(sweeps):
         step = now.withColumn("off", F.lit(0.0))
-        for name, target in targets.items():
+        for name in targets:
             total = step.groupBy(name).agg(F.sum(F.col("mass") * F.col("weight")).alias("total"))
-            factor = total.where("total > 0").join(target, name).select(name, (F.col("target") / F.col("total")).alias("factor"))
-            step = step.join(factor, name, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
-            step = step.withColumn("off", F.greatest("off", F.abs(F.col("factor") - 1))).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            step = step.join(F.broadcast(total) if few else total, name)
+            factor = F.coalesce(F.when(F.col("total") > 0, F.col(f"target_{name}") / F.nullif("total", F.lit(0.0))), F.lit(1.0))
+            step = step.withColumn("factor", factor).withColumn("off", F.greatest("off", F.abs(F.col("factor") - 1))).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor", "total")
         new = scratch.keep(step, "cells")
         scratch.drop(now)
         now = new
         if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    return now.drop("off")
+    return now.select(*cells.columns, "weight")
 
 
 def mix(docs: DataFrame, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, seed: str = SEED, broadcast_cells: int = 1 << 16) -> DataFrame:
@@ -88,7 +93,7 @@ def mix(docs: DataFrame, power: dict[str, float] | None = None, targets: dict[st
     power = TEMPER | (power or {})
     targets = {d: (targets or {}).get(d, tempered(cells, d, power[d])) for d in DIMENSIONS}
     shares = cells.join(F.broadcast(whole)).select(*DIMENSIONS, F.coalesce(F.col("mass") / F.nullif("whole", F.lit(0.0)), F.lit(0.0)).alias("mass"))
-    fitted = fit(shares, targets, scratch, sweeps)
+    fitted = fit(shares, targets, scratch, sweeps, broadcast_cells=broadcast_cells)
     most = fitted.where("mass > 0").agg(F.max("weight").alias("most"))
     odds = fitted.join(F.broadcast(most)).select(*DIMENSIONS, F.when(F.col("mass") > 0, F.round(F.col("weight") / F.col("most"), 9)).otherwise(F.lit(1.0)).alias("probability"))
     out = rows.join(small(scratch.keep(odds, "odds"), broadcast_cells), list(DIMENSIONS))
