@@ -3,15 +3,15 @@
 A conditional expression does not keep a Python engine from running on rows that do not need it. So
 each rank of the plan runs on what the ranks before it left: documents whose strategy there is a
 given engine go through that engine's sub-plan; those with enough text are done, the rest carry
-their warnings on. What a rank made is read twice, by both continuations, so it is kept once.
+their warnings on. What a rank made is read twice, by both continuations, so it is written once.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +48,11 @@ def plain_text(decode: Callable[[Column], Column]) -> Callable[[Column], Column]
 
 
 def kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """``df`` computed once and cut from its plan, in the folder of spark.checkpoint.dir; only where that is unset a temporary one is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docflow-"))
+    return df.checkpoint()
 
 
 def _missed(part: DataFrame, note: Column) -> DataFrame:
@@ -106,6 +110,8 @@ def execute(routed: DataFrame, engines: Engines, images: DataFrame | None = None
     """``routed`` (doc_id, content, kind, pages, strategies) with engine, pages_out, text, source, meta and warnings.
 
     ``images``: page images (doc_id, index, image) of the PDFs. engine is null where nothing yielded text.
+    Ranks run one after the other, each engine once on the documents that reach it; only sub-plans of
+    engines that some document wants at that rank are built.
     """
     columns = routed.columns
     todo = routed.withColumn("warnings", F.array().cast("array<string>"))
@@ -113,14 +119,17 @@ def execute(routed: DataFrame, engines: Engines, images: DataFrame | None = None
     for rank in range(DEPTH):
         step = F.get("strategies", F.lit(rank))["engine"]
         ended.append(todo.where(step.isNull()).select(*columns, "warnings", F.lit(None).cast("string").alias("engine"), F.array().cast(PAGES).alias("pages_out")))
+        # At most one value per engine of the routing table.
+        wanted = {r["e"] for r in todo.select(step.alias("e")).where("e is not null").distinct().collect()}
         tried = None
-        for tag in SOURCE:
-            if rank == 0 and tag == "granite-docling" or rank > 0 and tag in TEXT_ENGINES:
-                continue  # the routing table never puts it there
+        for tag in (t for t in SOURCE if t in wanted):
             part = todo.where(step == tag)
             made = _by_extractor(part, tag, engines.extractors.get(tag), floor) if tag in TEXT_ENGINES else _by_reader(part, tag, engines.readers.get(tag), images, floor, max_pages)
             made = made.withColumn("engine", F.lit(tag))
             tried = made if tried is None else tried.unionByName(made)
+        if tried is None:
+            todo = todo.limit(0)
+            break
         tried = keep(tried.withColumn("warnings", F.concat("warnings", "notes")).drop("notes"))
         ended.append(tried.where(F.col("chars") >= floor).select(*columns, "warnings", "engine", "pages_out"))
         todo = tried.where(F.col("chars") < floor).select(*columns, "warnings")
