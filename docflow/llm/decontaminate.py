@@ -2,9 +2,12 @@
 
 Numbers, names and units become typed placeholders, the rest lower-case words without punctuation.
 Windows of template tokens are hashed and joined with the benchmark's; a document is a candidate for
-an item once it holds half of the item's distinct windows. The candidate's slots are then laid on the
-item's: one value of the item must always stand for the same value in the document. So an exact copy
-passes, a question with other numbers or names passes too, and unrelated text in the same mould fails.
+an item once it holds half of the item's windows. Shared windows then vote for shifts (place in the
+document less place in the item). A place is one shift, a range of nearby shifts (words were inserted) or
+the whole text; in each that itself holds half of the windows, slots inside matched windows are laid on
+the item's: one value of the item must always stand for the same value in the document. One consistent
+place will do. So an exact copy passes wherever it stands, a question with other numbers or names passes
+too, and unrelated text in the same mould fails.
 
 All of it is Column expressions and joins. Only window hashes are exploded, and only those that the
 benchmark holds survive the first join; the benchmark's windows are broadcast if they are counted to
@@ -12,19 +15,20 @@ be few, else the join shuffles.
 
 Defined results: null and empty texts hold no windows; a text of fewer than a window's tokens is one
 window of all it has, which only an equally short text can match; an item without literal words
-matches nothing; rows that repeat an id are one document or item; empty tables give an empty
-table; other columns are not read.
+matches nothing; texts that repeat an id are judged one by one, and any of them marks the document or
+item; empty tables give an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small
-from .quality import let
 
 WIDTH, PERCENT = 8, 50
+#: Sizes of the ranges of shifts that make one place: insertions of up to half of one never part an item.
+RANGES = (16, 128)
 NUMBER, NAME, UNIT = "", "", ""
 #: Fixed: units that count as such after a number.
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|s|ms|min|h|l|ml|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|usd|eur|gbp|percent|dollars|euros|hours|minutes|seconds|days|weeks|months|years|miles|meters|metres|feet|inches|pounds|liters|litres|degrees"
@@ -56,61 +60,74 @@ def template_tokens(text: Column) -> Column:
     return F.split(F.regexp_replace(_marked(text), SLOT, "$1"), " ")
 
 
-def _hashes(tokens: Column, width: int) -> Column:
-    """One hash per window of ``width`` tokens; of all tokens if there are fewer."""
-    at = lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(width)])
-    many = F.transform(F.sequence(F.lit(0), F.size(tokens) - width), at)
-    return F.when(F.size(tokens) >= width, many).otherwise(F.array(F.xxhash64(tokens)))
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (text and others) without text, a row (at, x) per window: its first token, and all tokens in a struct."""
+    others = [c for c in rows.columns if c != "text"]
+    marked = rows.select(*others, F.explode(F.array(_marked(F.col("text")))).alias("m"))
+    tokens = marked.select(*others, F.explode(F.array(F.struct(F.split(F.regexp_replace("m", SLOT, "$1"), " ").alias("t")))).alias("x"))
+    many = F.size("x.t") - width
+    return tokens.select(*others, "x", F.explode(F.when(many >= 0, F.sequence(F.lit(0), many)).otherwise(F.array(F.lit(0)))).alias("at"))
 
 
-def _literals(tokens: Column, width: int) -> Column:
-    slots = F.array(*[F.lit(p) for p in (NUMBER, NAME, UNIT)])
-    own = lambda i: F.size(F.filter(F.slice(tokens, i + 1, width), lambda t: ~F.array_contains(slots, t)))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - width, F.lit(0))), own)
+def _hashes(width: int) -> Column:
+    """Hashes of a window that _windows gives. It is cut out of the tokens outside any lambda, so that the loop is compiled."""
+    return F.array(F.xxhash64(F.slice("x.t", F.col("at") + 1, width)))
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Distinct (item_id, hash) of windows of which at least half are literal words."""
-    tokens = items.where("item_id is not null and length(text) > 0").select("item_id", F.explode(F.array(template_tokens(F.col("text")))).alias("t"))
-    rows = tokens.select("item_id", F.explode(F.arrays_zip(_hashes(F.col("t"), width).alias("hash"), _literals(F.col("t"), width).alias("own"))).alias("w"))
-    return rows.where(F.col("w.own") * 2 >= width).select("item_id", F.col("w.hash").alias("hash")).distinct()
+    """Rows (item_id, part, i, hash, t) for windows of which at least half are literal words; part tells texts of one item_id apart."""
+    rows = items.where("item_id is not null and length(text) > 0").select("item_id", F.xxhash64("text").alias("part"), "text").distinct()
+    own = F.size(F.filter(F.slice("x.t", F.col("at") + 1, width), lambda t: ~t.isin(NUMBER, NAME, UNIT)))
+    found = _windows(rows, width).where(own * 2 >= width)
+    return found.select("item_id", "part", F.col("at").alias("i"), F.explode(_hashes(width)).alias("hash"), F.lit(1).alias("t"))
 
 
-def _aligned(doc: Column, item: Column, doc_slots: Column, item_slots: Column, width: int) -> Column:
-    """Pairs (item's value, document's value) of slots where the item's first shared window lies on the document."""
+def _places(shift: Column) -> Column:
+    """The places a match belongs to: its own shift, ranges of nearby shifts (each twice, by half a range apart, so that none parts neighbours), and the whole text."""
+    cut = lambda size, by: F.struct(F.lit(size + by).alias("range"), F.floor((shift + by) / size).cast("int").alias("nth"))
+    return F.array(cut(1, 0), *[cut(size, by) for size in RANGES for by in (0, size // 2)], F.struct(F.lit(0).alias("range"), F.lit(0).alias("nth")))
 
-    def pairs(at: Column) -> Column:
-        shift = at["d"] - at["i"]
-        both = F.transform(item_slots, lambda v, k: F.struct(v.alias("v"), F.get(doc_slots, k + shift).alias("u")))
-        mark = lambda x: F.substring(x, 1, 1)
-        return F.filter(both, lambda p: mark(p["v"]).isin(NUMBER, NAME, UNIT) & (mark(p["v"]) == mark(p["u"])))
 
-    found = F.transform(item, lambda h, i: F.struct(i.alias("i"), (F.array_position(doc, h) - 1).cast("int").alias("d")))
-    return let(F.filter(found, lambda x: x["d"] >= 0), lambda f: F.when(F.size(f) > 0, pairs(F.get(f, F.lit(0)))))
+def _slots(laid: Column, item: Column, doc: Column, width: int) -> Column:
+    """Pairs (item's value, document's value) of slots inside the matched windows (i, shift)."""
+    pairs = lambda w: F.transform(F.sequence(w["i"], w["i"] + width - 1), lambda k: F.struct(F.get(item, k).alias("v"), F.get(doc, k + w["shift"]).alias("u")))
+    return F.array_distinct(F.filter(F.flatten(F.transform(laid, pairs)), lambda p: F.substring(p["v"], 1, 1).isin(NUMBER, NAME, UNIT)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, broadcast_windows: int = 1 << 20) -> DataFrame:
-    """Rows (doc_id, item_id, n_shared, n_windows, n_slots, consistent) of documents (doc_id, text) that hold ``percent`` of an item's (item_id, text) windows."""
+    """Rows (doc_id, item_id, n_shared, n_windows, n_slots, consistent) of documents (doc_id, text) that hold ``percent`` of an item's (item_id, text) windows.
+
+    The figures are those of the best place: a consistent one if there is any, then the one with most windows.
+    """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.keep(item_windows(items, width), "windows")
-    sizes = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    texts = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
-    tokens = texts.select("doc_id", F.explode(F.array(template_tokens(F.col("text")))).alias("t"))
-    hashes = tokens.select("doc_id", F.explode(_hashes(F.col("t"), width)).alias("hash"))
-    shared = hashes.join(small(windows, broadcast_windows), "hash").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    pairs = scratch.keep(shared.join(small(sizes, broadcast_windows), "item_id").where(100 * F.col("n_shared") >= percent * F.col("n_windows")), "pairs")
+    pair, part = ["doc_id", "copy", "item_id", "part"], ["item_id", "part"]
+    sizes = windows.groupBy(*part).agg(F.sum("t").alias("n_t"))
+    texts = docs.where("doc_id is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    hashes = _windows(texts, width).select("doc_id", "copy", F.col("at").alias("d"), F.explode(_hashes(width)).alias("hash"))
+    found = hashes.join(small(windows, broadcast_windows), "hash").select(*pair, "i", (F.col("d") - F.col("i")).alias("shift"), "t")
+    matches = scratch.keep(found.distinct(), "matches")
+
+    def enough(rows: DataFrame) -> DataFrame:
+        return rows.join(small(sizes, broadcast_windows), part).where(100 * F.col("s_t") >= percent * F.col("n_t"))
+
+    counted = matches.groupBy(*pair, "i").agg(F.max("t").alias("t")).groupBy(*pair).agg(F.sum("t").alias("s_t"))
+    pairs = scratch.keep(enough(counted).select(*pair), "pairs")
+    placed = matches.join(small(pairs, broadcast_windows), pair, "left_semi")
+    votes = placed.withColumn("votes", F.count("*").over(Window.partitionBy(*pair, "shift")))
+    best = votes.select("*", F.explode(_places(F.col("shift"))).alias("place")).groupBy(*pair, "place", "i").agg(F.max_by(F.struct("shift", "t"), F.struct("votes", -F.col("shift"))).alias("m"))
+    laid = enough(best.groupBy(*pair, "place").agg(F.sum("m.t").alias("s_t"), F.sort_array(F.collect_list(F.struct("i", "m.shift"))).alias("laid")))
+    laid = laid.groupBy(*pair).agg(F.collect_set(F.struct(F.col("s_t").alias("n_shared"), F.col("n_t").alias("n_windows"), "laid")).alias("places"))
 
     ids = pairs.select("doc_id").distinct()
-    own = texts.join(small(ids, broadcast_windows), "doc_id", "left_semi").join(pairs, "doc_id")
-    bench = items.where("item_id is not null and length(text) > 0").select("item_id", F.col("text").alias("item")).groupBy("item_id").agg(F.min("item").alias("item"))
-    own = own.join(small(bench, 1 << 12), "item_id")
-    laid = own.select("doc_id", "item_id", "n_shared", "n_windows", F.explode(F.array(F.struct(
-        template_tokens(F.col("text")).alias("d"), template_tokens(F.col("item")).alias("i"), slot_tokens(F.col("text")).alias("ds"), slot_tokens(F.col("item")).alias("is"),
-    ))).alias("x"))
-    laid = laid.select("doc_id", "item_id", "n_shared", "n_windows", let(F.struct(_hashes(F.col("x.d"), width).alias("d"), _hashes(F.col("x.i"), width).alias("i")), lambda h: _aligned(h["d"], h["i"], F.col("x.ds"), F.col("x.is"), width)).alias("pairs"))
-    slots = F.array_distinct(F.col("pairs"))
-    out = laid.select("doc_id", "item_id", "n_shared", "n_windows", F.size("pairs").cast("long").alias("n_slots"), (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda p: p["v"])))).alias("consistent"))
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_or("consistent").alias("consistent"))
+    own = texts.join(small(ids, broadcast_windows), "doc_id", "left_semi").distinct().join(laid, ["doc_id", "copy"])
+    bench = items.where("item_id is not null and length(text) > 0").select("item_id", F.xxhash64("text").alias("part"), F.col("text").alias("item")).distinct()
+    own = own.join(small(bench, 1 << 12), part)
+    own = own.select("doc_id", "item_id", "places", F.explode(F.array(F.struct(slot_tokens(F.col("text")).alias("ds"), slot_tokens(F.col("item")).alias("is")))).alias("x"))
+    own = own.select("doc_id", "item_id", "x", F.explode("places").alias("p")).select("doc_id", "item_id", "p.n_shared", "p.n_windows", F.explode(F.array(_slots(F.col("p.laid"), F.col("x.is"), F.col("x.ds"), width))).alias("slots"))
+    judged = own.select("doc_id", "item_id", "n_shared", "n_windows", F.size("slots").cast("long").alias("n_slots"), (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["v"])))).alias("consistent"))
+    top = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", (F.col("n_shared") / F.col("n_windows")).alias("share"), "n_shared", "n_windows", "n_slots")).alias("b"))
+    return top.select("doc_id", "item_id", "b.n_shared", "b.n_windows", "b.n_slots", "b.consistent")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

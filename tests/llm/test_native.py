@@ -53,6 +53,15 @@ def test_templates(spark):
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_every_place_is_judged(spark):
+    uneven = ITEM.replace("120", "95", 1)
+    inserted = ITEM.replace("named Peter", "whom they all named Peter").replace("120", "95")
+    rows = [(1, "Intro " + uneven + " and then a copy " + ITEM), (2, ITEM[:90] + " stop. " + uneven + " more. " + ITEM), (3, inserted), (4, uneven + " and " + uneven)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, ITEM), (10, "some other text under the same id that is long enough to have windows")], "item_id long, text string")
+    assert {r["doc_id"] for r in contaminated(docs, items).collect()} == {1, 2, 3}
+
+
 def test_mixing_meets_the_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.choice([3, 160, 700])), r.choice(["en", "en", "en", "fr", None]), r.choice("abbb"), "z") for i in range(300)] + [(300, None, "en", "a", "z"), (301, "", None, None, "z")]
