@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, the rest lower-case words without punctuation.
-Windows of template tokens are hashed and joined with the benchmark's; a document is a candidate for
-an item once it holds half of the item's windows. Shared windows then vote for shifts (place in the
+Windows of template tokens are hashed and joined with the benchmark's, and so are windows of case-folded
+tokens, in which no word is a name: capitals cannot hide a copy. A document is a candidate for an item
+once it holds half of the item's windows of either kind. Shared windows then vote for shifts (place in the
 document less place in the item). A place is one shift, a range of nearby shifts (words were inserted) or
 the whole text; in each that itself holds half of the windows, slots inside matched windows are laid on
 the item's: one value of the item must always stand for the same value in the document. One consistent
@@ -37,17 +38,19 @@ UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|s|ms|min|h|l|ml|hz|khz|mhz|ghz|kb|mb|gb|tb
 STEPS = [
     ("[-]", " "),
     (r"([0-9]+)", f" {NUMBER}$1 "),
-    (rf"({NUMBER}[0-9]+ +)({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3"),
+    (rf"({NUMBER}[0-9]+ +)((?i:{UNITS}))([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3"),
     (r"([\p{Ll},;] )(\p{Lu})", f"$1{NAME}$2"),
 ]
 JUNK = r"[^\p{L}\p{N}\x{e000}-\x{e002}]+"
 SLOT = r"([\x{e000}-\x{e002}])[\p{L}\p{N}]+"
+#: Slots of case-folded text. Case tells names, so there they are words.
+FOLDED = r"([\x{e000}\x{e002}])[\p{L}\p{N}]+"
 
 
 def _marked(text: Column) -> Column:
     for pattern, new in STEPS:
         text = F.regexp_replace(text, pattern, new)
-    return F.trim(F.regexp_replace(F.lower(text), JUNK, " "))
+    return F.trim(F.regexp_replace(F.lower(F.upper(text)), JUNK, " "))
 
 
 def slot_tokens(text: Column) -> Column:
@@ -64,22 +67,36 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` (text and others) without text, a row (at, x) per window: its first token, and all tokens in a struct."""
     others = [c for c in rows.columns if c != "text"]
     marked = rows.select(*others, F.explode(F.array(_marked(F.col("text")))).alias("m"))
-    tokens = marked.select(*others, F.explode(F.array(F.struct(F.split(F.regexp_replace("m", SLOT, "$1"), " ").alias("t")))).alias("x"))
+    forms = {"t": F.regexp_replace("m", SLOT, "$1"), "f": F.regexp_replace(F.translate("m", NAME, ""), FOLDED, "$1")}
+    tokens = marked.select(*others, F.explode(F.array(F.struct(*[F.split(c, " ").alias(k) for k, c in forms.items()]))).alias("x"))
     many = F.size("x.t") - width
     return tokens.select(*others, "x", F.explode(F.when(many >= 0, F.sequence(F.lit(0), many)).otherwise(F.array(F.lit(0)))).alias("at"))
 
 
+def _cut(form: str, width: int) -> Column:
+    """A window that _windows gives. It is cut out of the tokens outside any lambda, so that the loop is compiled."""
+    return F.slice(f"x.{form}", F.col("at") + 1, width)
+
+
 def _hashes(width: int) -> Column:
-    """Hashes of a window that _windows gives. It is cut out of the tokens outside any lambda, so that the loop is compiled."""
-    return F.array(F.xxhash64(F.slice("x.t", F.col("at") + 1, width)))
+    """Hashes of a window as a template and case-folded: one where it holds no name."""
+    t, f = F.xxhash64(_cut("t", width)), F.xxhash64(_cut("f", width))
+    return F.when(t == f, F.array(f)).otherwise(F.array(f, t))
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (item_id, part, i, hash, t) for windows of which at least half are literal words; part tells texts of one item_id apart."""
+    """Rows (item_id, part, i, hash, t, f) for windows of which at least half are literal words; part tells texts of one item_id apart.
+
+    t: it is a window of the template, f: of the case-folded text, where names are literal words.
+    """
     rows = items.where("item_id is not null and length(text) > 0").select("item_id", F.xxhash64("text").alias("part"), "text").distinct()
-    own = F.size(F.filter(F.slice("x.t", F.col("at") + 1, width), lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    found = _windows(rows, width).where(own * 2 >= width)
-    return found.select("item_id", "part", F.col("at").alias("i"), F.explode(_hashes(width)).alias("hash"), F.lit(1).alias("t"))
+    found = _windows(rows, width)
+    kinds = []
+    for k in ("t", "f"):
+        own = F.size(F.filter(_cut(k, width), lambda t: ~t.isin(NUMBER, NAME, UNIT)))
+        kinds.append(F.when(own * 2 >= width, F.struct(F.xxhash64(_cut(k, width)).alias("hash"), F.lit(int(k == "t")).alias("t"), F.lit(int(k == "f")).alias("f"))))
+    out = found.select("item_id", "part", F.col("at").alias("i"), F.explode(F.array(*kinds)).alias("w")).where("w is not null")
+    return out.groupBy("item_id", "part", "i", "w.hash").agg(F.max("w.t").alias("t"), F.max("w.f").alias("f"))
 
 
 def _places(shift: Column) -> Column:
@@ -90,7 +107,7 @@ def _places(shift: Column) -> Column:
 
 def _slots(laid: Column, item: Column, doc: Column, width: int) -> Column:
     """Pairs (item's value, document's value) of slots inside the matched windows (i, shift)."""
-    pairs = lambda w: F.transform(F.sequence(w["i"], w["i"] + width - 1), lambda k: F.struct(F.get(item, k).alias("v"), F.get(doc, k + w["shift"]).alias("u")))
+    pairs = lambda w: F.transform(F.sequence(w["i"], w["i"] + width - 1), lambda k: F.struct(F.get(item, k).alias("v"), F.translate(F.get(doc, k + w["shift"]), NUMBER + NAME + UNIT, "").alias("u")))
     return F.array_distinct(F.filter(F.flatten(F.transform(laid, pairs)), lambda p: F.substring(p["v"], 1, 1).isin(NUMBER, NAME, UNIT)))
 
 
@@ -102,22 +119,24 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.keep(item_windows(items, width), "windows")
     pair, part = ["doc_id", "copy", "item_id", "part"], ["item_id", "part"]
-    sizes = windows.groupBy(*part).agg(F.sum("t").alias("n_t"))
+    sizes = windows.groupBy(*part).agg(F.sum("t").alias("n_t"), F.sum("f").alias("n_f"))
     texts = docs.where("doc_id is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("copy"), "text")
     hashes = _windows(texts, width).select("doc_id", "copy", F.col("at").alias("d"), F.explode(_hashes(width)).alias("hash"))
-    found = hashes.join(small(windows, broadcast_windows), "hash").select(*pair, "i", (F.col("d") - F.col("i")).alias("shift"), "t")
+    found = hashes.join(small(windows, broadcast_windows), "hash").select(*pair, "i", (F.col("d") - F.col("i")).alias("shift"), "t", "f")
     matches = scratch.keep(found.distinct(), "matches")
 
     def enough(rows: DataFrame) -> DataFrame:
-        return rows.join(small(sizes, broadcast_windows), part).where(100 * F.col("s_t") >= percent * F.col("n_t"))
+        share = lambda k: F.when(F.col(f"n_{k}") > 0, F.struct((F.col(f"s_{k}") / F.col(f"n_{k}")).alias("share"), F.col(f"s_{k}").alias("n_shared"), F.col(f"n_{k}").alias("n_windows")))
+        return rows.join(small(sizes, broadcast_windows), part).withColumn("best", F.greatest(share("t"), share("f"))).where(100 * F.col("best.n_shared") >= percent * F.col("best.n_windows"))
 
-    counted = matches.groupBy(*pair, "i").agg(F.max("t").alias("t")).groupBy(*pair).agg(F.sum("t").alias("s_t"))
+    counted = matches.groupBy(*pair, "i").agg(F.max("t").alias("t"), F.max("f").alias("f")).groupBy(*pair).agg(F.sum("t").alias("s_t"), F.sum("f").alias("s_f"))
     pairs = scratch.keep(enough(counted).select(*pair), "pairs")
     placed = matches.join(small(pairs, broadcast_windows), pair, "left_semi")
+    placed = placed.groupBy(*pair, "i", "shift").agg(F.max("t").alias("t"), F.max("f").alias("f"))
     votes = placed.withColumn("votes", F.count("*").over(Window.partitionBy(*pair, "shift")))
-    best = votes.select("*", F.explode(_places(F.col("shift"))).alias("place")).groupBy(*pair, "place", "i").agg(F.max_by(F.struct("shift", "t"), F.struct("votes", -F.col("shift"))).alias("m"))
-    laid = enough(best.groupBy(*pair, "place").agg(F.sum("m.t").alias("s_t"), F.sort_array(F.collect_list(F.struct("i", "m.shift"))).alias("laid")))
-    laid = laid.groupBy(*pair).agg(F.collect_set(F.struct(F.col("s_t").alias("n_shared"), F.col("n_t").alias("n_windows"), "laid")).alias("places"))
+    best = votes.select("*", F.explode(_places(F.col("shift"))).alias("place")).groupBy(*pair, "place", "i").agg(F.max_by(F.struct("shift", "t", "f"), F.struct("votes", -F.col("shift"))).alias("m"))
+    laid = enough(best.groupBy(*pair, "place").agg(F.sum("m.t").alias("s_t"), F.sum("m.f").alias("s_f"), F.sort_array(F.collect_list(F.struct("i", "m.shift"))).alias("laid")))
+    laid = laid.groupBy(*pair).agg(F.collect_set(F.struct("best.n_shared", "best.n_windows", "laid")).alias("places"))
 
     ids = pairs.select("doc_id").distinct()
     own = texts.join(small(ids, broadcast_windows), "doc_id", "left_semi").distinct().join(laid, ["doc_id", "copy"])

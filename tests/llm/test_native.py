@@ -62,6 +62,14 @@ def test_every_place_is_judged(spark):
     assert {r["doc_id"] for r in contaminated(docs, items).collect()} == {1, 2, 3}
 
 
+def test_letter_case_hides_no_copy(spark):
+    listed = "Of Anna, Boris, Carla, Dieter, Emma, Franz, Greta, Hugo, Irma and Jens the oldest lives in Straße 5, the next in Weg 7, says Karl, who knows them all; Anna left"
+    copies = [f(t) for t in (ITEM, listed) for f in (str.upper, str.title, str.lower, lambda t: t.upper().lower())]
+    docs = spark.createDataFrame([(i, "Some words before it. " + t + " AND SOME AFTER") for i, t in enumerate(copies)] + [(7, ITEM.upper().lower()), (90, ITEM.upper().replace("120", "95", 1))], "doc_id long, text string")
+    items = spark.createDataFrame([(10, ITEM), (11, listed)], "item_id long, text string")
+    assert {r["doc_id"] for r in contaminated(docs, items).collect()} == set(range(len(copies)))
+
+
 def test_mixing_meets_the_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.choice([3, 160, 700])), r.choice(["en", "en", "en", "fr", None]), r.choice("abbb"), "z") for i in range(300)] + [(300, None, "en", "a", "z"), (301, "", None, None, "z")]
