@@ -14,10 +14,14 @@ All of it is Column expressions and joins. Only window hashes are exploded, and
 benchmark holds survive the first join; the benchmark's windows are broadcast if they are counted to
 be few, else the join shuffles.
 
-Defined results: null and empty texts hold no windows; a text of fewer than a window's tokens is one
-window of all it has, which only an equally short text can match; an item without literal words
-matches nothing; texts that repeat an id are judged one by one, and any of them marks the document or
-item; empty tables give an empty table; other columns are not read.
+Windows of which less than half is words count with the values that stand in them, so lists of figures are
+found verbatim. An item of fewer tokens than a window is one window of all its plain tokens, found wherever
+a document holds them in a row (a one-word item in every text with that word). A verbatim run of RUN tokens
+is a leak whatever share of the item it is.
+
+Defined results: null and empty texts and texts without letters or digits hold no windows; texts that
+repeat an id are judged one by one, and any of them marks the document or item; empty tables give an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, small
 
 WIDTH, PERCENT = 8, 50
+#: Tokens in a row that are a leak as they stand, whatever share of the item. It is above what a short question with one value changed still shares.
+RUN = 30
 #: Sizes of the ranges of shifts that make one place: insertions of up to half of one never part an item.
 RANGES = (16, 128)
 NUMBER, NAME, UNIT = "", "", ""
@@ -63,14 +69,19 @@ def template_tokens(text: Column) -> Column:
     return F.split(F.regexp_replace(_marked(text), SLOT, "$1"), " ")
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` (text and others) without text, a row (at, x) per window: its first token, and all tokens in a struct."""
+def _plain(token: Column) -> Column:
+    return F.translate(token, NUMBER + NAME + UNIT, "")
+
+
+def _windows(rows: DataFrame, least: Column, width: int) -> DataFrame:
+    """``rows`` (text and others) without text, a row (at, x) per window of ``least`` tokens: its first token, and all tokens in a struct."""
     others = [c for c in rows.columns if c != "text"]
-    marked = rows.select(*others, F.explode(F.array(_marked(F.col("text")))).alias("m"))
-    forms = {"t": F.regexp_replace("m", SLOT, "$1"), "f": F.regexp_replace(F.translate("m", NAME, ""), FOLDED, "$1")}
-    tokens = marked.select(*others, F.explode(F.array(F.struct(*[F.split(c, " ").alias(k) for k, c in forms.items()]))).alias("x"))
-    many = F.size("x.t") - width
-    return tokens.select(*others, "x", F.explode(F.when(many >= 0, F.sequence(F.lit(0), many)).otherwise(F.array(F.lit(0)))).alias("at"))
+    marked = rows.select(*others, F.explode(F.array(_marked(F.col("text")))).alias("m")).where("m <> ''")
+    forms = {"t": F.regexp_replace("m", SLOT, "$1"), "f": F.regexp_replace(F.translate("m", NAME, ""), FOLDED, "$1"), "e": _plain(F.col("m"))}
+    figures = F.length("m") - F.length(F.translate("m", NUMBER + UNIT, ""))
+    tokens = marked.select(*others, F.explode(F.array(F.struct(*[F.split(c, " ").alias(k) for k, c in forms.items()], (figures * 2 > width).alias("figures")))).alias("x"))
+    many = F.size("x.t") - least
+    return tokens.select(*others, "x", F.explode(F.when(many >= 0, F.sequence(F.lit(0), many))).alias("at"))
 
 
 def _cut(form: str, width: int) -> Column:
@@ -78,25 +89,37 @@ def _cut(form: str, width: int) -> Column:
     return F.slice(f"x.{form}", F.col("at") + 1, width)
 
 
-def _hashes(width: int) -> Column:
-    """Hashes of a window as a template and case-folded: one where it holds no name."""
-    t, f = F.xxhash64(_cut("t", width)), F.xxhash64(_cut("f", width))
-    return F.when(t == f, F.array(f)).otherwise(F.array(f, t))
+def _folded(width: int) -> Column:
+    """The hash of a case-folded window; where less than half of it is words, of the values that stand in it too."""
+    words = F.size(F.array_remove(F.array_remove(_cut("f", width), NUMBER), UNIT))
+    return F.when(F.col("x.figures") & (words * 2 < width), F.xxhash64(_cut("e", width))).otherwise(F.xxhash64(_cut("f", width)))
+
+
+def _hashes(width: int, shorter: list[int]) -> Column:
+    """Hashes of a window as a template and case-folded (one where it holds no name), and of ``shorter`` windows' plain tokens."""
+    t, f = F.xxhash64(_cut("t", width)), _folded(width)
+    within = lambda n: F.size("x.t") - F.col("at") >= n
+    both = F.when(t == f, F.array(f)).otherwise(F.array(f, t))
+    if not shorter:
+        return both
+    return F.concat(F.when(within(width), both).otherwise(F.array().cast("array<long>")), F.array(*[F.when(within(n), F.xxhash64(_cut("e", n))) for n in shorter]))
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (item_id, part, i, hash, t, f) for windows of which at least half are literal words; part tells texts of one item_id apart.
+    """Rows (item_id, part, i, size, hash, t, f) for windows of ``width`` tokens, or all tokens of a shorter item; part tells texts of one item_id apart.
 
-    t: it is a window of the template, f: of the case-folded text, where names are literal words.
+    t: it is a window of the template, at least half literal words. f: of the case-folded text, where
+    names are literal words, and figures keep their values if they are more than half.
     """
     rows = items.where("item_id is not null and length(text) > 0").select("item_id", F.xxhash64("text").alias("part"), "text").distinct()
-    found = _windows(rows, width)
-    kinds = []
-    for k in ("t", "f"):
-        own = F.size(F.filter(_cut(k, width), lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-        kinds.append(F.when(own * 2 >= width, F.struct(F.xxhash64(_cut(k, width)).alias("hash"), F.lit(int(k == "t")).alias("t"), F.lit(int(k == "f")).alias("f"))))
-    out = found.select("item_id", "part", F.col("at").alias("i"), F.explode(F.array(*kinds)).alias("w")).where("w is not null")
-    return out.groupBy("item_id", "part", "i", "w.hash").agg(F.max("w.t").alias("t"), F.max("w.f").alias("f"))
+    size = F.least(F.size("x.t"), F.lit(width))
+    found = _windows(rows, size, width)
+    kind = lambda h, t: F.struct(h.alias("hash"), F.lit(t).alias("t"), F.lit(1 - t).alias("f"))
+    own = F.size(F.filter(_cut("t", width), lambda t: ~t.isin(NUMBER, NAME, UNIT)))
+    short = F.array(kind(F.xxhash64(_cut("e", width)), 0))
+    both = F.array(kind(_folded(width), 0), F.when(own * 2 >= width, kind(F.xxhash64(_cut("t", width)), 1)))
+    out = found.select("item_id", "part", F.col("at").alias("i"), size.alias("size"), F.explode(F.when(size < width, short).otherwise(both)).alias("w")).where("w is not null")
+    return out.groupBy("item_id", "part", "i", "size", "w.hash").agg(F.max("w.t").alias("t"), F.max("w.f").alias("f"))
 
 
 def _places(shift: Column) -> Column:
@@ -107,27 +130,41 @@ def _places(shift: Column) -> Column:
 
 def _slots(laid: Column, item: Column, doc: Column, width: int) -> Column:
     """Pairs (item's value, document's value) of slots inside the matched windows (i, shift)."""
-    pairs = lambda w: F.transform(F.sequence(w["i"], w["i"] + width - 1), lambda k: F.struct(F.get(item, k).alias("v"), F.translate(F.get(doc, k + w["shift"]), NUMBER + NAME + UNIT, "").alias("u")))
+    pairs = lambda w: F.transform(F.sequence(w["i"], w["i"] + width - 1), lambda k: F.struct(F.get(item, k).alias("v"), _plain(F.get(doc, k + w["shift"])).alias("u")))
     return F.array_distinct(F.filter(F.flatten(F.transform(laid, pairs)), lambda p: F.substring(p["v"], 1, 1).isin(NUMBER, NAME, UNIT)))
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, broadcast_windows: int = 1 << 20) -> DataFrame:
-    """Rows (doc_id, item_id, n_shared, n_windows, n_slots, consistent) of documents (doc_id, text) that hold ``percent`` of an item's (item_id, text) windows.
+def _verbatim(laid: Column, item: Column, doc: Column, width: int) -> Column:
+    """Tokens in the longest row of matched windows (i, shift) that agree in all values too."""
+    plain = lambda tokens, at: F.transform(F.slice(tokens, at + 1, width), _plain)
+    same = F.filter(laid, lambda w: plain(item, w["i"]) == plain(doc, w["i"] + w["shift"]))
+
+    def step(a: Column, w: Column) -> Column:
+        many = F.when((w["i"] == a["i"] + 1) & (w["shift"] == a["shift"]), a["many"] + 1).otherwise(F.lit(1))
+        return F.struct(w["i"].alias("i"), w["shift"].alias("shift"), many.alias("many"), F.greatest(a["most"], many).alias("most"))
+
+    start = F.struct(F.lit(-2).alias("i"), F.lit(0).alias("shift"), F.lit(0).alias("many"), F.lit(0).alias("most"))
+    return F.aggregate(same, start, step, lambda a: a["most"] + width - 1)
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, run: int = RUN, broadcast_windows: int = 1 << 20) -> DataFrame:
+    """Rows (doc_id, item_id, n_shared, n_windows, n_slots, consistent) of documents (doc_id, text) that hold ``percent`` of an item's (item_id, text) windows, or ``run`` of its tokens in a row.
 
-    The figures are those of the best place: a consistent one if there is any, then the one with most windows.
+    The figures are those of the best place: a consistent one if there is any, then the one with most windows. A verbatim run is consistent.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.keep(item_windows(items, width), "windows")
     pair, part = ["doc_id", "copy", "item_id", "part"], ["item_id", "part"]
     sizes = windows.groupBy(*part).agg(F.sum("t").alias("n_t"), F.sum("f").alias("n_f"))
     texts = docs.where("doc_id is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    hashes = _windows(texts, width).select("doc_id", "copy", F.col("at").alias("d"), F.explode(_hashes(width)).alias("hash"))
+    shorter = [r[0] for r in windows.where(F.col("size") < width).select("size").distinct().orderBy("size").collect()]
+    hashes = _windows(texts, F.lit(min([width, *shorter])), width).select("doc_id", "copy", F.col("at").alias("d"), F.explode(_hashes(width, shorter)).alias("hash"))
     found = hashes.join(small(windows, broadcast_windows), "hash").select(*pair, "i", (F.col("d") - F.col("i")).alias("shift"), "t", "f")
     matches = scratch.keep(found.distinct(), "matches")
 
     def enough(rows: DataFrame) -> DataFrame:
         share = lambda k: F.when(F.col(f"n_{k}") > 0, F.struct((F.col(f"s_{k}") / F.col(f"n_{k}")).alias("share"), F.col(f"s_{k}").alias("n_shared"), F.col(f"n_{k}").alias("n_windows")))
-        return rows.join(small(sizes, broadcast_windows), part).withColumn("best", F.greatest(share("t"), share("f"))).where(100 * F.col("best.n_shared") >= percent * F.col("best.n_windows"))
+        return rows.join(small(sizes, broadcast_windows), part).withColumn("best", F.greatest(share("t"), share("f"))).withColumn("whole", 100 * F.col("best.n_shared") >= percent * F.col("best.n_windows")).where(F.col("whole") | (F.col("s_f") > run - width))
 
     counted = matches.groupBy(*pair, "i").agg(F.max("t").alias("t"), F.max("f").alias("f")).groupBy(*pair).agg(F.sum("t").alias("s_t"), F.sum("f").alias("s_f"))
     pairs = scratch.keep(enough(counted).select(*pair), "pairs")
@@ -136,15 +173,18 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent
     votes = placed.withColumn("votes", F.count("*").over(Window.partitionBy(*pair, "shift")))
     best = votes.select("*", F.explode(_places(F.col("shift"))).alias("place")).groupBy(*pair, "place", "i").agg(F.max_by(F.struct("shift", "t", "f"), F.struct("votes", -F.col("shift"))).alias("m"))
     laid = enough(best.groupBy(*pair, "place").agg(F.sum("m.t").alias("s_t"), F.sum("m.f").alias("s_f"), F.sort_array(F.collect_list(F.struct("i", "m.shift"))).alias("laid")))
-    laid = laid.groupBy(*pair).agg(F.collect_set(F.struct("best.n_shared", "best.n_windows", "laid")).alias("places"))
+    laid = laid.groupBy(*pair).agg(F.collect_set(F.struct("best.n_shared", "best.n_windows", "whole", "s_f", "laid")).alias("places"))
 
     ids = pairs.select("doc_id").distinct()
     own = texts.join(small(ids, broadcast_windows), "doc_id", "left_semi").distinct().join(laid, ["doc_id", "copy"])
     bench = items.where("item_id is not null and length(text) > 0").select("item_id", F.xxhash64("text").alias("part"), F.col("text").alias("item")).distinct()
     own = own.join(small(bench, 1 << 12), part)
     own = own.select("doc_id", "item_id", "places", F.explode(F.array(F.struct(slot_tokens(F.col("text")).alias("ds"), slot_tokens(F.col("item")).alias("is")))).alias("x"))
-    own = own.select("doc_id", "item_id", "x", F.explode("places").alias("p")).select("doc_id", "item_id", "p.n_shared", "p.n_windows", F.explode(F.array(_slots(F.col("p.laid"), F.col("x.is"), F.col("x.ds"), width))).alias("slots"))
-    judged = own.select("doc_id", "item_id", "n_shared", "n_windows", F.size("slots").cast("long").alias("n_slots"), (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["v"])))).alias("consistent"))
+    own = own.select("doc_id", "item_id", "x", F.explode("places").alias("p"))
+    row = F.when(F.col("p.s_f") > run - width, _verbatim(F.col("p.laid"), F.col("x.is"), F.col("x.ds"), width)).otherwise(F.lit(0)) >= run
+    own = own.select("doc_id", "item_id", "p.n_shared", "p.n_windows", "p.whole", F.explode(F.array(F.struct(_slots(F.col("p.laid"), F.col("x.is"), F.col("x.ds"), width).alias("slots"), row.alias("run")))).alias("y"))
+    even = F.size("y.slots") == F.size(F.array_distinct(F.transform("y.slots", lambda p: p["v"])))
+    judged = own.where(F.col("whole") | F.col("y.run")).select("doc_id", "item_id", "n_shared", "n_windows", F.size("y.slots").cast("long").alias("n_slots"), (F.col("y.run") | (F.col("whole") & even)).alias("consistent"))
     top = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", (F.col("n_shared") / F.col("n_windows")).alias("share"), "n_shared", "n_windows", "n_slots")).alias("b"))
     return top.select("doc_id", "item_id", "b.n_shared", "b.n_windows", "b.n_slots", "b.consistent")
 

@@ -70,6 +70,15 @@ def test_letter_case_hides_no_copy(spark):
     assert {r["doc_id"] for r in contaminated(docs, items).collect()} == set(range(len(copies)))
 
 
+def test_no_item_is_left_out(spark):
+    sums = "12 + 7 = 19; 19 + 30 = 49; 49 - 8 = 41; 41 * 2 = 82; 82 / 2 = 41 kg"
+    long = " ".join(f"{a}{b}" for a in "abcdef" for b in "klmnopqrst")
+    rows = [(1, "see " + sums + " there"), (2, "as they say: who wrote the Iliad? Nobody knows it for sure"), (3, "zz " + " ".join(long.split()[10:40]) + " zz"), (4, sums.translate(str.maketrans("123456789", "234567891"))), (5, " ".join(long.split()[10:38])), (6, "who wrote it, the Iliad"), (7, "???")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, sums), (11, "Who wrote the Iliad?"), (12, long), (13, "?!"), (14, "NOBODY knows it for")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contamination(docs, items).where("consistent").collect()} == {(1, 10), (2, 11), (2, 14), (3, 12)}
+
+
 def test_mixing_meets_the_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.choice([3, 160, 700])), r.choice(["en", "en", "en", "fr", None]), r.choice("abbb"), "z") for i in range(300)] + [(300, None, "en", "a", "z"), (301, "", None, None, "z")]
