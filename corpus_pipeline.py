@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docflow.llm import mixing, quality
 from docflow.llm.common import Scratch
@@ -10,6 +11,9 @@ from docflow.llm.decontaminate import contaminated
 from docflow.llm.minhash import near_duplicates
 from docflow.llm.token_store import store_round_trip
 
+#: The column that tells rows apart inside a stage.
+ROW = "_row"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy v1 keeps. The verdict is a condition on the row itself, so nothing is joined."""
@@ -17,21 +21,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each near-duplicate group: the one with the smallest doc_id (null last), of its rows any one.
+
+    Rows are told apart by a number of their own, so repeated rows and rows without an id are members like
+    others. Texts without words are in no group and stay.
+    """
+    numbered = Scratch(spark, "near_dedup").keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = groups.join(numbered.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    return numbered.join(first.select(f"first.{ROW}"), ROW, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no benchmark item. Texts are named by their hash: ids may be null or shared."""
+    named = F.xxhash64("text")
+    found = contaminated(docs.select(named.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select(F.col("doc_id").alias(ROW)), named == F.col(ROW), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with their calibrated probabilities."""
-    drawn = mixing.mix(docs).where("sampled").select("doc_id").distinct()
-    return docs.join(drawn, "doc_id", "left_semi").select(*docs.columns)
+    """Rows drawn with their calibrated probabilities, each by itself; a row without an id draws by its text."""
+    return mixing.drawn(docs)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,18 +76,15 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweep
     return now.select(*cells.columns, "weight")
 
 
-def mix(docs: DataFrame, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, seed: str = SEED, broadcast_cells: int = 1 << 16) -> DataFrame:
-    """Rows (doc_id, source, lang, topic, n_tokens, probability, sampled) for every row of ``docs`` (doc_id, text, lang, source[, topic]).
-
-    ``targets`` gives (class, target) tables by dimension, whose targets add to 1 each; by default
-    shares are tempered. probability is rounded to 9 places, and compared with the draw as rounded.
-    """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    tokens = n_tokens(F.col("text"))
+def _celled(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``docs`` with n_tokens and the cell (source, lang, topic) of each row."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")]
-    rows = docs.select("doc_id", *named, *([F.col("topic")] if "topic" in docs.columns else []), tokens.alias("n_tokens"))
-    rows = rows.withColumn("topic", F.coalesce(F.col("topic").cast("string"), F.lit("(none)")) if "topic" in docs.columns else topic_by_length(F.col("n_tokens")))
-    rows = scratch.keep(rows, "rows")
+    rows = docs.select(*columns, *named, *([F.col("topic")] if "topic" in docs.columns else []), n_tokens(F.col("text")).alias("n_tokens"))
+    return rows.withColumn("topic", F.coalesce(F.col("topic").cast("string"), F.lit("(none)")) if "topic" in docs.columns else topic_by_length(F.col("n_tokens")))
+
+
+def _odds(rows: DataFrame, power: dict[str, float] | None, targets: dict[str, DataFrame] | None, sweeps: int, broadcast_cells: int, scratch: Scratch) -> DataFrame:
+    """Rows (source, lang, topic, probability) for the cells of ``rows``."""
     cells = scratch.keep(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass")), "masses")
     whole = cells.agg(F.sum("mass").cast("double").alias("whole"))
     power = TEMPER | (power or {})
@@ -96,10 +93,30 @@ def mix(docs: DataFrame, power: dict[str, float] | None = None, targets: dict[st
     fitted = fit(shares, targets, scratch, sweeps, broadcast_cells=broadcast_cells)
     most = fitted.where("mass > 0").agg(F.max("weight").alias("most"))
     odds = fitted.join(F.broadcast(most)).select(*DIMENSIONS, F.when(F.col("mass") > 0, F.round(F.col("weight") / F.col("most"), 9)).otherwise(F.lit(1.0)).alias("probability"))
-    out = rows.join(small(scratch.keep(odds, "odds"), broadcast_cells), list(DIMENSIONS))
+    return small(scratch.keep(odds, "odds"), broadcast_cells)
+
+
+def mix(docs: DataFrame, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, seed: str = SEED, broadcast_cells: int = 1 << 16) -> DataFrame:
+    """Rows (doc_id, source, lang, topic, n_tokens, probability, sampled) for every row of ``docs`` (doc_id, text, lang, source[, topic]).
+
+    ``targets`` gives (class, target) tables by dimension, whose targets add to 1 each; by default
+    shares are tempered. probability is rounded to 9 places, and compared with the draw as rounded.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.keep(_celled(docs, "doc_id"), "rows")
+    out = rows.join(_odds(rows, power, targets, sweeps, broadcast_cells, scratch), list(DIMENSIONS))
     return out.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
+def drawn(docs: DataFrame, seed: str = SEED, broadcast_cells: int = 1 << 16) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, whole. A row without an id draws by its text, so such rows are not all kept or lost at once."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    odds = _odds(scratch.keep(_celled(docs), "rows"), None, None, SWEEPS, broadcast_cells, scratch)
+    name = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.col("row.text").cast("binary")))
+    out = _celled(docs, F.struct(*docs.columns).alias("row")).join(odds, list(DIMENSIONS))
+    return out.where(uniform(name, seed) < F.col("probability")).select("row.*")
+
+
 def oracle(documents: str = "documents", sweeps: int = SWEEPS, select: str = "doc_id, source, lang, topic, n_tokens, probability, sampled") -> str:
     """The same as DuckDB SQL, over a table of that name."""
     forms = " ".join(f"WHEN n_tokens < {most} THEN '{name}'" for name, most in FORMS)

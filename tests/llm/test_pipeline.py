@@ -31,6 +31,23 @@ def test_stages(spark, tmp_path):
     assert out.agg(F.max(F.col("start") + F.col("n_tokens")) == F.sum("n_tokens")).first()[0]
 
 
+def test_stages_work_by_row(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    a, b, c, d, e, f, item = say(80), say(80), say(80), say(80), say(80), say(80), say(30)
+    rows = [(7, a), (7, a), (9, a), (9, b), (9, c + " end"), (10, c), (None, d), (None, d), (None, e), (11, f), (11, item + " " + say(40)), (None, item + " " + say(40))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["minhash_near_dedup"](spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=str) == sorted([(7, a), (9, b), (9, c + " end"), (None, d), (None, e), *rows[9:]], key=str)
+    for name in ("decontaminate", "mix_sources"):
+        left = stages[name](spark, left, str(tmp_path))
+        assert left.columns == docs.columns and sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=str) == sorted([(7, a), (9, b), (9, c + " end"), (None, d), (None, e), (11, f)], key=str)
+    assert stages["token_store"](spark, left, str(tmp_path)).count() == 6
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
