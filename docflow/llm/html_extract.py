@@ -8,7 +8,9 @@ minimum cut, found by maximum flow, is the labelling of least total cost.
 
 The classifier is logistic, over a block's ancestors (tags, and words of their class, id and role) and
 its text. Its weights are fixed values below; blocks of markup that carries no article (menus, headers
-and footers outside the article, scripts, forms, comments and so on) have a cost no cut will pay.
+and footers outside the article, scripts, forms, elements whose whole class or id says comments, and so on)
+have a cost no cut will pay. Such a word as a part of a name (left-sidebar, entry-header) is evidence that
+other evidence can outweigh, and none on wrappers around the article or most of the page's text.
 
 One scan, nothing is shuffled; pages do not meet. Defined results: a null or empty page has empty text
 and 0 characters; repeated rows are extracted alike; broken markup is closed as browsers do; an empty
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -46,31 +48,35 @@ SCOPE = frozenset("table ul ol dl article section div main body nav aside header
 
 # Markup that carries no article text, whatever its words.
 NEVER = frozenset("nav aside form button input label fieldset script style noscript template iframe svg math canvas object select option textarea title head dialog menu".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+BAD = (
+    r"(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
     r"pagination|pager|sidebar|side-bar|aside|widget|widgets|rail|related|recommended|recommendations|trending|popular|share|sharing|social|follow|newsletter|subscribe|subscription|signup|login|comment|comments|comment-list|commentlist|disqus|"
-    r"reply|replies|respond|discussion|footer|foot|site-footer|header|site-header|masthead|topbar|copyright|legal|disclaimer|skip-link|skip|toolbar|search|tags|tag-cloud|byline-share)(?:$|[\s_-])"
+    r"reply|replies|respond|discussion|footer|foot|site-footer|header|site-header|masthead|topbar|copyright|legal|disclaimer|skip-link|skip|toolbar|search|tags|tag-cloud|byline-share)"
 )
+#: A whole class or id of such words is never content; such a word beside others in one is evidence against it.
+NAMES, PARTS = re.compile(rf"(?:^|\s){BAD}(?:[_-]+{BAD})*(?:$|\s)"), re.compile(rf"(?:^|[\s_-]){BAD}(?:$|[\s_-])")
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|page-content|article-body|post-body|entry-content)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 # The classifier's weights, in nats for content, and the weights of the smoothness edges.
-WEIGHTS = {"bias": -0.4, "in_article": 3.0, "in_main": 2.0, "good_name": 1.2, "heading": 0.6, "paragraph": 1.0, "per_log_word": 0.35, "sentence": 0.8, "link_share": -4.0, "list_item": -0.8, "symbol_only": -1.0}
+WEIGHTS = {"bias": -0.4, "in_article": 3.0, "in_main": 2.0, "good_name": 1.2, "heading": 0.6, "paragraph": 1.0, "per_log_word": 0.35, "sentence": 0.8, "link_share": -4.0, "list_item": -0.8, "symbol_only": -1.0, "bad_part": -4.5}
 NEIGHBOUR, SIBLING, NEVER_COST = 0.6, 0.4, 1e6
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "never", "article", "main", "good", "tag", "parent")
+    __slots__ = ("parts", "linked", "path", "never", "article", "main", "good", "doubts", "bad", "tag", "parent")
 
     def __init__(self, tag: str, path: tuple, state: tuple, parent: int):
         self.parts, self.linked, self.tag, self.path, self.parent = [], 0, tag, path, parent
-        self.never, self.article, self.main, self.good = state
+        self.never, self.article, self.main, self.good, self.doubts = state
+        self.bad = False
 
 
 def blocks_of(page: str) -> list[tuple[str, Block]]:
     """(text, block) in page order; texts are decoded, with white space as single spaces, and never empty."""
-    # An open element: tag, (never, article, main, good), its serial number.
-    stack: list[tuple[str, tuple, int]] = [("", (False, False, False, False), 0)]
+    # An open element: tag, (never, the outermost article's number, main, good, numbers of elements with a bad part in their names), its serial number.
+    stack: list[tuple[str, tuple, int]] = [("", (False, 0, False, False, ()), 0)]
+    around: dict[int, tuple] = {}
     out: list[Block] = []
     current: Block | None = None
     links = serial = 0
@@ -139,7 +145,7 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == other or (stack[k][0] in ("ul", "ol", "dl", "table"))), 0)
             if depth and stack[depth][0] == other:
                 leave(depth)
-        never, article, main, good = stack[-1][1]
+        never, article, main, good, doubts = stack[-1][1]
         if not never:
             if name in NEVER or (name in ("header", "footer") and not (name == "header" and article)):
                 never = True
@@ -148,29 +154,58 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
                 names = f"{found.get('class', '')} {found.get('id', '')}".lower()
                 role = found.get("role", "").lower()
                 # Attributes of whole-page wrappers say nothing about the text in them.
-                if name not in ("body", "html", "main", "article", "h1") and (NAMES.search(names) or role in ROLES) or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or "display:none" in found.get("style", "").replace(" ", "").lower():
+                named = name not in ("body", "html", "main", "article", "h1")
+                # A header inside an article holds its title, so its name is evidence only.
+                if named and (name != "header" and NAMES.search(names) or role in ROLES) or found.get("aria-hidden") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
                     never = True
-                elif GOOD.search(names):
-                    good = True
+                else:
+                    good = good or bool(GOOD.search(names))
+                    if named and PARTS.search(names):
+                        doubts = (*doubts, serial + 1)
                 main = main or role == "main"
-                article = article or role == "article"
+                if role == "article" and not article:
+                    article = serial + 1
+                    around[article] = doubts
             if name == "article":
                 # An article inside an article is a reader's comment by the HTML standard.
-                never, article = never or article, True
+                never = never or bool(article)
+                if not article:
+                    article = serial + 1
+                    around[article] = doubts
             main = main or name == "main"
         serial += 1
         if name in BLOCK:
             current = None
         links += name == "a"
-        stack.append((name, (never, article, main, good), serial))
+        stack.append((name, (never, article, main, good, doubts), serial))
     done = []
     for b in out:
         text = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
         if text:
             done.append((text, b))
+    if any(b.doubts for _, b in done):
+        _doubt(done, around)
     return done
 
 
+def _doubt(found: list[tuple[str, Block]], around: dict[int, tuple]) -> None:
+    """Marks blocks in elements whose names hold a bad part, but for wrappers: elements around the largest article, or with over half of the page's text."""
+    held, articles, whole = {}, {}, 0
+    for text, b in found:
+        if not b.never:
+            n = max(0, len(text) - b.linked)
+            whole += n
+            for e in b.doubts:
+                held[e] = held.get(e, 0) + n
+            if b.article:
+                articles[b.article] = articles.get(b.article, 0) + n
+    wrappers = {e for e, n in held.items() if 2 * n > whole}
+    if articles:
+        wrappers.update(around[max(articles, key=articles.get)])
+    for _, b in found:
+        b.bad = any(e not in wrappers for e in b.doubts)
+
+
 def costs(text: str, block: Block, has_article: bool) -> tuple[float, float]:
     """(cost of calling it boilerplate, cost of calling it content): the two negative log-likelihoods of the classifier."""
     if block.never:
@@ -178,7 +213,7 @@ def costs(text: str, block: Block, has_article: bool) -> tuple[float, float]:
     w = WEIGHTS
     words = text.count(" ") + 1
     z = w["bias"] + w["per_log_word"] * math.log1p(words)
-    z += w["in_article"] * (1.0 if block.article else -1.0 if has_article else 0.0) + w["in_main"] * block.main + w["good_name"] * block.good
+    z += w["in_article"] * (1.0 if block.article else -1.0 if has_article else 0.0) + w["in_main"] * block.main + w["good_name"] * block.good + w["bad_part"] * block.bad
     z += w["heading"] * (block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + w["paragraph"] * (block.tag in ("p", "blockquote", "pre")) + w["list_item"] * (block.tag == "li")
     z += w["sentence"] * (text[-1] in ".!?…\"'”’") + w["link_share"] * min(1.0, block.linked / max(1, len(text))) + w["symbol_only"] * (not any(map(str.isalnum, text)))
     return math.log1p(math.exp(min(z, 50.0))), math.log1p(math.exp(min(-z, 50.0)))

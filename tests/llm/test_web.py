@@ -14,6 +14,19 @@ def test_article_only():
     assert H.content_of(PAGE) == ["Big & news", "First line.", "Second <line> here.", "One point.", "Two", "Said so."]
 
 
+def test_names_of_wrappers_veto_nothing():
+    body = "<header class='entry-header'><h1>The title</h1></header><p>A long sentence that goes on for a while and says things.</p><p>Another one follows it here, with more words.</p>"
+    want = ["The title", "A long sentence that goes on for a while and says things.", "Another one follows it here, with more words."]
+    for name in ("content-sidebar-wrap", "site-content has-sidebar", "no-sidebar", "container with-banner", "legal-article", "search-result-content"):
+        junk = "<div class='left-sidebar-box'><p>Other text, read this as well.</p></div><div id=my-comments><p>Nice one.</p></div><div class='ad'>Buy now. Really good stuff for all of you.</div>"
+        assert H.content_of(f"<body><div class='{name}'><article>{body}</article></div>{junk}</body>") == want, name
+        assert H.content_of(f"<body><div class='{name}'>{body.replace('header', 'div')}</div><div class='ad'>Buy now.</div></body>")[1:] == want[1:], name
+    for attributes in ("title='The hidden life'", 'data-x="is hidden here"', "data-hidden=1"):
+        assert H.content_of(f"<article {attributes}>{body}</article>") == want
+    for attributes in ("hidden", "HIDDEN=''", "class=x hidden id=y"):
+        assert H.content_of(f"<article>{body}<div {attributes}>Out of sight.</div></article>") == want
+
+
 def test_page_without_article_element():
     page = "<body><div id=nav><a href=x>Home</a> <a href=y>About</a></div><div><h2>Head</h2><p>A long sentence that goes on for a while and says things.</p><p>Another one follows it here, with more words.</p></div><ul><li><a href=1>Link one</a><li><a href=2>Link two</a></ul>"
     assert H.content_of(page) == ["Head", "A long sentence that goes on for a while and says things.", "Another one follows it here, with more words."]
