@@ -3,7 +3,8 @@
 Documents are first summed into cells (source, language, topic); the fitting runs on cells only. One
 step scales a cell by target / current total of its marginal; a sweep does this for each of the three
 marginals. A document is then kept with its cell's weight divided by the largest weight, so that
-expected token totals have the fitted marginals exactly; the draw is a hash of doc_id and seed,
+expected token totals have the fitted marginals exactly. If the sweeps end before the targets are met, a
+warning says by how much; the cell that sets the scale is logged; the draw is a hash of doc_id and seed,
 so it is the same in any run, partitioning or engine.
 
 Defined results: a null source or language is its own class ``(none)``; texts without words have no
@@ -13,11 +14,14 @@ repeat a doc_id draw alike; an empty table gives an empty table; other columns p
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, small
 
+LOG = logging.getLogger(__name__)
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: each marginal's token share to this power, normalised.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.5}
@@ -71,8 +75,11 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweep
         new = scratch.keep(step, "cells")
         scratch.drop(now)
         now = new
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        off = now.agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
             break
+    else:
+        LOG.warning("marginals not met: after %d sweeps a factor is off 1 by up to %.3g, tolerance %.3g", sweeps, off if sweeps else 0.0, tolerance)
     return now.select(*cells.columns, "weight")
 
 
@@ -91,8 +98,11 @@ def _odds(rows: DataFrame, power: dict[str, float] | None, targets: dict[str, Da
     targets = {d: (targets or {}).get(d, tempered(cells, d, power[d])) for d in DIMENSIONS}
     shares = cells.join(F.broadcast(whole)).select(*DIMENSIONS, F.coalesce(F.col("mass") / F.nullif("whole", F.lit(0.0)), F.lit(0.0)).alias("mass"))
     fitted = fit(shares, targets, scratch, sweeps, broadcast_cells=broadcast_cells)
-    most = fitted.where("mass > 0").agg(F.max("weight").alias("most"))
-    odds = fitted.join(F.broadcast(most)).select(*DIMENSIONS, F.when(F.col("mass") > 0, F.round(F.col("weight") / F.col("most"), 9)).otherwise(F.lit(1.0)).alias("probability"))
+    scale = fitted.where("mass > 0").agg(F.max(F.struct("weight", *DIMENSIONS, "mass")).alias("s"), F.sum(F.col("mass") * F.col("weight")).alias("t")).first()
+    if scale["s"]:
+        LOG.info("cell %s with %.3g of the tokens sets the scale: %.3g of all tokens are kept", tuple(scale["s"][d] for d in DIMENSIONS), scale["s"]["mass"], scale["t"] / scale["s"]["weight"])
+    most = F.lit(scale["s"]["weight"] if scale["s"] else None).cast("double")
+    odds = fitted.select(*DIMENSIONS, F.when(F.col("mass") > 0, F.round(F.col("weight") / most, 9)).otherwise(F.lit(1.0)).alias("probability"))
     return small(scratch.keep(odds, "odds"), broadcast_cells)
 
 

@@ -101,3 +101,13 @@ def test_given_targets(spark):
     even = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, target double")
     out = M.mix(docs, targets={"source": even}).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("t")).collect()
     assert abs(out[0]["t"] - out[1]["t"]) < 1e-6
+
+
+def test_missed_targets_are_reported(spark, caplog):
+    docs = spark.createDataFrame([(i, "one two", "en" if i < 50 else "fr", "a" if i < 50 else "b") for i in range(100)], "doc_id long, text string, lang string, source string")
+    tied = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("en", 0.1), ("fr", 0.9)], "lang string, target double")}
+    with caplog.at_level("INFO", "docflow.llm.mixing"):
+        M.mix(docs).count()
+        assert "not met" not in caplog.text and "sets the scale" in caplog.text
+        M.mix(docs, targets=tied, sweeps=2).count()
+        assert "not met" in caplog.text
