@@ -15,7 +15,8 @@ At 32 bands of 4 a pair with J = 0.8 shares no bucket with probability 5e-8.
 
 Defined results: null or wordless text has n_shingles 0 and no links; rows that repeat a doc_id are one
 document; a null doc_id takes the component of its text's set, null if no other row has it; an empty
-table gives an empty table; other columns are not read, whatever their names.
+table gives an empty table; other columns are not read, whatever their names; a text of any length is taken
+whole, its words hashed a piece at a time (8 bytes of memory a word and array, of which there are about six).
 """
 
 from __future__ import annotations
@@ -149,6 +150,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
         found = scratch.keep(_confirm(pairs, docs, size, percent, broadcast_ids), "links")
         if found.limit(1).count():
             component = scratch.keep(connected_components(links.union(found), scratch), "components")
+    scratch.leave(sketch, groups, component)
     label = groups.join(component, groups["id"] == component["node"], "left").select("print", F.coalesce("component", "id").alias("label"))
     out = sketch.join(label, "print", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
