@@ -4,20 +4,26 @@ Layout of a store, all Parquet in one folder:
 
 * ``packed/kind=chunk``: digest, payload. Every distinct run of ids once. The payload is little-endian
   unsigned integers of ``width`` bytes; the digest is BLAKE2b-128 of it.
-* ``recipes``: part, local, doc_id, n_tokens, root, digests, lengths, in ascending (doc_id, root) over
-  and within the parts. ``digests`` and ``lengths`` list a document's chunks; ``root`` is its Merkle root.
-* ``manifest``: part, first ids of the part in the whole id stream, counts, Merkle root of the part's roots.
+* ``recipes``: part, ordinal, local, doc_id, n_tokens, root, digests, lengths, in ascending (doc_id, root)
+  over and within the parts. ``digests`` and ``lengths`` list a document's chunks; ``root`` is its Merkle root.
+* ``manifest``: part, first ids of the part in the whole id stream, counts, the Merkle root of the part's
+  recipes, and the Merkle root over all parts.
 
 Chunks end where a rolling hash over the last 16 ids has its low bits clear, so equal passages give
 equal chunks wherever they lie, and insertions only change chunks near them. Writing takes one scan
 (texts are encoded once) and one shuffle of chunks by digest, after each task has dropped its own
-repeats. Reading checks every payload against its digest and every recipe against its root. A
-document's crc32 is put together from its chunks' crc32s, which is linear, so no payload is
-shuffled on the way back and no document is gathered.
+repeats; what is left of them meets in the shuffle's sort, which spills.
+
+Reading recomputes the Merkle trees from the recipes and raises where they differ from the manifest
+(a recipe or part is lost, added or changed, a count or root is wrong), checks every payload against
+its digest, every recipe against its root, and raises on a missing chunk. The trees have 4096 children a node;
+each level is a grouped aggregate of bounded groups. A document's crc32 is put together from its
+chunks' crc32s, which is linear, so no payload is shuffled on the way back and no document is gathered.
 
 Defined results: a null text counts as empty and is the end id alone; rows that repeat a doc_id are
 kept, ordered by their roots; null ids come first; an empty table gives an empty store and table; other
-columns are not read.
+columns, whatever their names, are not read; a text of any length is encoded whole, in memory of some
+times its size.
 """
 
 from __future__ import annotations
@@ -33,70 +39,112 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import Scratch, mix, slices
+from .common import Scratch, batch_rows, mix, slices
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 1024  # ids
 SEEN = 1 << 16  # digests a task remembers, to drop its repeats before the shuffle
+FAN = 1 << 12  # children of a node in a part's Merkle tree
+JOINED = 1 << 18  # words with punctuation that are remembered
+BLOCK = 1 << 20  # bytes of a long text, or ids, that are worked on at once
 
-#: Spaces beside which a cut at single spaces may not be a cut between tokens: next to other white space, and white space outside ASCII.
-ODD_ASCII = [a + b for a in (b" ",) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")] + [b + b" " for b in (b"\n", b"\t", b"\r", b"\x0b", b"\x0c")] + [b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
-ODD_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
-ODD_PUNCTUATION = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
-
-
-def odd_spaces(text: bytes) -> bool:
-    if text.endswith(b" ") or any(x in text for x in ODD_ASCII):
-        return True
-    return not text.isascii() and (any(x in text for x in ODD_WIDE) or b"\xe2\x80" in text and ODD_PUNCTUATION.search(text) is not None)
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+#: White space other than spaces and line ends: in ASCII, by first byte outside it, and outside it.
+OTHER = bytes([9, 11, 12, 13, 28, 29, 30, 31])
+WIDE = {b"\xc2": re.compile(rb"\xc2[\x85\xa0]"), b"\xe1": re.compile(rb"\xe1\x9a\x80"), b"\xe2": re.compile(rb"\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)"), b"\xe3": re.compile(rb"\xe3\x80\x80")}
+#: A single space between other characters: a token begins there.
+CUT = re.compile(rb"(?<=[^\x09-\x0d\x1c-\x20]) (?=[^\x09-\x0d\x1c-\x20])")
+#: Letters of vocab.PLAIN in UTF-8 and then punctuation, each of which is a pre-token by itself.
+SIMPLE = re.compile(rb"( ?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*)([!-&(-/:-@\[-`{-~]*)")
 
 
-SPACE = vocab.spelled(" ")
+def has_wide_space(text: bytes) -> bool:
+    return not text.isascii() and any(first in text and found.search(text) is not None for first, found in WIDE.items())
 
 
 class PieceIds(vocab.Remembered):
     """Packed ids of ``b" " + piece``; a key that begins with a space stands for the piece without it."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, width: int):
         super().__init__(1 << 19)
         self.tokenizer = vocab.load(file)
         self.merge = self.tokenizer.model.tokenize
-
-    def compute(self, piece: bytes) -> bytes:
-        bare = piece[:1] == b" "
-        text = piece[1:].decode() if bare else piece.decode()
-        plain = vocab.PLAIN.fullmatch(text)
-        if not plain:
-            return _packed(self.tokenizer.encode(text if bare else " " + text, add_special_tokens=False).ids)
-        end = plain[2]
-        if end and plain[1]:
-            # Punctuation after a word is a pre-token of its own, so the word is looked up by itself.
-            return self[piece[: -len(end)]] + self[b" " + end.encode()]
-        head = text if text.isascii() else vocab.spelled(text)
-        return _packed([t.id for t in self.merge(head if bare else SPACE + head)])
+        self.letters = {c: vocab.spelled(chr(c)) for c in range(128, 0x250)}
+        self.space, self.kind, self.joined = vocab.spelled(" "), "H" if width == 2 else "I", {}
+        self.line = self[b" \n"]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def pack(self, ids: list[int]) -> bytes:
+        try:
+            out = array(self.kind, ids)
+        except OverflowError:
+            raise ValueError("ids of this vocabulary need width 4") from None
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def whole(self, text: bytes) -> bytes:
+        return self.pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        value = self.joined.get(piece)
+        if value is not None:
+            return value
+        value = self.old.get(piece)
+        if value is None:
+            m = SIMPLE.fullmatch(piece)
+            if m is None:
+                value = self.whole(piece[1:] if piece[:1] == b" " else b" " + piece)
+            elif m[2] and m[3]:
+                # Punctuation after a word is a pre-token of its own, so the word is looked up by itself.
+                value = self[m[1] + m[2]] + self[b" " + m[3]]
+                if len(piece) <= vocab.LONG:
+                    if len(self.joined) >= JOINED:
+                        self.joined.clear()
+                    self.joined[piece] = value
+                return value
+            else:
+                letters = (m[2] or m[3]).decode().translate(self.letters)
+                value = self.pack([t.id for t in self.merge(letters if m[1] else self.space + letters)])
+        return self.keep(piece, value)
 
     def text(self, text: bytes) -> bytes:
-        if odd_spaces(text):
-            return _packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-        first, *rest = text.split(b" ")
-        head = self[b" " + first] if first else b""
-        return head + b"".join(map(self.__getitem__, rest))
+        if has_wide_space(text) or any(a in text for a in self.added):
+            return self.whole(text)
+        parts, at = [], 0
+        while len(text) - at > BLOCK and (m := CUT.search(text, at + BLOCK)):
+            parts.append(self.block(text[at : m.start()]))
+            at = m.start()
+        parts.append(self.block(text[at:] if at else text))
+        return b"".join(parts)
+
+    def block(self, text: bytes) -> bytes:
+        if len(text.translate(None, OTHER)) < len(text) or text[-1:] == b" " or b"  " in text or b" \n" in text or b"\n " in text:
+            first, *rest = CUT.split(text)
+            return self[b" " + first] + b"".join(map(self.__getitem__, rest))
+        # Of the line ends before a line the last is a pre-token of its own; those at the end of the text are one.
+        out, ends = [], 0
+        for line in text.split(b"\n"):
+            if line:
+                if ends:
+                    out.append(self[b" " + b"\n" * (ends - 1)] + self.line if ends > 1 else self.line)
+                first, *rest = line.split(b" ")
+                if first:
+                    out.append(self[b" " + first])
+                out += map(self.__getitem__, rest)
+                ends = 0
+            ends += 1
+        if ends > 1:
+            out.append(self[b" " + b"\n" * (ends - 1)])
+        return b"".join(out)
 
 
 @lru_cache(4)
-def _pieces(file: str) -> PieceIds:
-    return PieceIds(file)
+def _pieces(file: str, width: int) -> PieceIds:
+    return PieceIds(file, width)
 
 
 _GEAR = mix(np.arange(1, (1 << 18) + 1, dtype=np.uint64))
@@ -104,12 +152,15 @@ _GEAR = mix(np.arange(1, (1 << 18) + 1, dtype=np.uint64))
 
 def cut_points(ids: np.ndarray, stops: np.ndarray) -> list[list[int]]:
     """Where each document's chunks end, for documents laid end to end in ``ids``."""
-    h = _GEAR[ids & 0x3FFFF]
-    span = 1
-    while span < WINDOW:
-        h[span:] = h[span:] + (h[:-span] << np.uint64(span))
-        span *= 2
-    marks = (np.flatnonzero((mix(h) & np.uint64(MEAN - 1)) == 0) + 1).tolist()
+    marks = []
+    for at in range(0, len(ids), BLOCK):
+        low = max(0, at - WINDOW + 1)
+        h = _GEAR[ids[low : at + BLOCK].astype(np.int64) & 0x3FFFF]
+        span = 1
+        while span < WINDOW:
+            h[span:] = h[span:] + (h[:-span] << np.uint64(span))
+            span *= 2
+        marks += (np.flatnonzero((mix(h[at - low :]) & np.uint64(MEAN - 1)) == 0) + at + 1).tolist()
     cuts, k, start = [], 0, 0
     for stop in stops.tolist():
         own, last = [], start
@@ -134,23 +185,23 @@ def merkle(leaves: list[bytes]) -> bytes:
     return hashlib.blake2b(b"\x00" + leaves[0], digest_size=16).digest()
 
 
-ROWS = "kind string, digest binary, payload binary, doc_id long, n_tokens long, root binary, digests binary, lengths array<int>"
-RECIPES = "part int, local long, doc_id long, n_tokens long, root binary, digests binary, lengths array<int>"
-_ARROW = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.binary()), ("lengths", pa.list_(pa.int32()))])
+ROWS = "kind string, digest binary, payload binary, spread long, doc_id long, n_tokens long, root binary, digests binary, lengths array<int>"
+RECIPES = "part int, ordinal long, local long, doc_id long, n_tokens long, root binary, digests binary, lengths array<int>"
+_ARROW = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("payload", pa.binary()), ("spread", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.binary()), ("lengths", pa.list_(pa.int32()))])
 
 
 def _encode(file: str, end_id: int, width: int):
+    """Rows of ROWS: chunks, a task's own repeats left out as far as it remembers them, and recipes, each with a ``spread`` of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end, seen = _pieces(file), _packed([end_id]), set()
+        pieces, seen, spread = _pieces(file, width), set(), TaskContext.get().partitionId() << 36
+        end = pieces.pack([end_id])
         for part, texts in slices(batches):
             packed = [pieces.text(t) + end if t else end for t in texts]
-            ids = np.frombuffer(b"".join(packed), "<u4")
-            stops = np.cumsum([len(p) // 4 for p in packed])
-            if width == 2 and int(ids.max()) > 0xFFFF:
-                raise ValueError("ids of this vocabulary need width 4")
-            flat = ids.astype(f"<u{width}").tobytes()
+            flat = b"".join(packed)
+            stops = np.cumsum([len(p) // width for p in packed])
             chunks, recipes, start = [], [], 0
-            for doc, cuts in zip(part.column(0).to_pylist(), cut_points(ids, stops), strict=True):
+            for doc, cuts in zip(part.column(0).to_pylist(), cut_points(np.frombuffer(flat, f"<u{width}"), stops), strict=True):
                 names, sizes, first = [], [], start
                 for cut in cuts:
                     payload = flat[start * width : cut * width]
@@ -163,58 +214,85 @@ def _encode(file: str, end_id: int, width: int):
                             seen.clear()
                         seen.add(name)
                         chunks.append((name, payload))
-                recipes.append((doc, start - first, merkle(names), b"".join(names), sizes))
+                recipes.append((spread, doc, start - first, merkle(names), b"".join(names), sizes))
+                spread += 1
             none, m = None, len(recipes)
             for k, rows in (("chunk", chunks), ("recipe", recipes)):
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    values = [[k] * len(rows), *cols, *[[none] * len(rows)] * 5] if k == "chunk" else [[k] * m, [none] * m, [none] * m, *cols]
+                    values = [[k] * len(rows), *cols, *[[none] * len(rows)] * 6] if k == "chunk" else [[k] * m, [none] * m, [none] * m, *cols]
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
 
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops the repeats of a digest. All rows of a digest are in one partition, so what a task remembers is its share of the distinct digests."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for name in batch.column(1).to_pylist():
-            keep.append(name is None or name not in seen)
-            if name is not None:
-                seen.add(name)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
+    part, at, nth = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         n = np.asarray(batch.column(1), np.int64)
         starts = at + np.cumsum(n) - n
-        at += int(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), *batch.columns], ["part", "local", *batch.schema.names])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(nth + np.arange(len(n))), pa.array(starts), *batch.columns], ["part", "ordinal", "local", *batch.schema.names])
+        at, nth = at + int(n.sum()), nth + len(n)
+
+
+MANIFEST = "part int, start long, n_docs long, n_tokens long, first_doc long, last_doc long, seal binary, root binary"
+
+
+def _leaf(*parts: object) -> bytes:
+    return hashlib.blake2b(repr(parts).encode(), digest_size=16).digest()
+
+
+def manifest_of(recipes: DataFrame) -> list[tuple]:
+    """Rows of MANIFEST as the recipes themselves have it. What is collected is a row per part and FAN ** 2 documents."""
+    leaf = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("ordinal", "local", "doc_id", "n_tokens")], F.hex("root")), 256)
+    level = recipes.select("part", "ordinal", leaf.alias("digest"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.col("doc_id").alias("first_doc"), F.col("doc_id").alias("last_doc"))
+    for _ in range(2):
+        below = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "digest"))), lambda x: x["digest"]), "")
+        level = level.groupBy("part", F.floor(F.col("ordinal") / FAN).alias("ordinal")).agg(F.sha2(below, 256).alias("digest"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+    parts: dict[int, list] = {}
+    for r in level.orderBy("part", "ordinal").collect():
+        parts.setdefault(r["part"], []).append(r)
+    listed, at = [], 0
+    for part, nodes in parts.items():
+        known = lambda c, nodes=nodes: [r[c] for r in nodes if r[c] is not None]
+        n_docs, n_tokens = sum(known("n_docs")), sum(known("n_tokens"))
+        seal = merkle([_leaf(r["ordinal"], r["digest"]) for r in nodes])
+        listed.append((part, at, n_docs, n_tokens, min(known("first_doc"), default=None), max(known("last_doc"), default=None), seal))
+        at += n_tokens
+    root = merkle([_leaf(*x) for x in listed])
+    return [(*x, root) for x in listed]
 
 
 def write_store(docs: DataFrame, path: str, file: str | None = None, end_id: int = END_ID, width: int = 2) -> None:
     """Encodes ``docs`` (doc_id, text), ends each document with ``end_id`` and writes a store to the empty folder ``path``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(file or vocab.path(TOKENIZER), end_id, width), ROWS)
-    # Recipes ride along in the shuffle, so that texts are encoded once.
-    dealt = rows.repartition(F.xxhash64(F.coalesce("digest", "root"), "kind", F.when(F.col("kind") == "recipe", F.col("doc_id"))))
-    dealt.mapInArrow(_once, ROWS).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/packed")
-    loose = spark.read.schema(ROWS).parquet(f"{path}/packed").where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "digests", "lengths")
-    ordered = loose.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
+    # Recipes ride along in the shuffle, so that texts are encoded once; each is a group by itself.
+    nth = F.row_number().over(Window.partitionBy("kind", "digest", "spread").orderBy("digest"))
+    once = rows.withColumn("nth", nth).where("kind = 'recipe' or nth = 1").drop("nth")
+    with batch_rows(spark):
+        once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/packed")
+    loose = spark.read.schema(ROWS).parquet(f"{path}/packed").where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "digests", "lengths", "spread")
+    ordered = loose.repartitionByRange("doc_id", "root", "spread").sortWithinPartitions("doc_id", "root", "spread").drop("spread")
     ordered.mapInArrow(_number, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
     made = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    # One row per part: as many as the range partitioning made, however many documents there are.
-    parts = made.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.bit_xor(F.xxhash64("local", "root")).alias("seal")).orderBy("part").collect()
-    at, listed = 0, []
-    for p in parts:
-        listed.append((p["part"], at, p["n_docs"], p["n_tokens"], p["first_doc"], p["last_doc"], p["seal"]))
-        at += p["n_tokens"]
-    roots = merkle([hashlib.blake2b(repr(x).encode(), digest_size=16).digest() for x in listed])
-    manifest = spark.createDataFrame([(*x, roots) for x in listed], "part int, start long, n_docs long, n_tokens long, first_doc long, last_doc long, seal long, root binary")
-    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    spark.createDataFrame(manifest_of(made), MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of the store at ``path``; raises ValueError unless the recipes there have the very Merkle roots, counts and places it names."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    known = lambda x: tuple(bytes(v) if isinstance(v, bytearray) else v for v in x)
+    said = sorted(known(r) for r in manifest.collect())
+    found = manifest_of(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
+    for have, want in zip(found, said, strict=False):
+        if have[:-1] != want[:-1]:
+            raise ValueError(f"part {want[0]} of the store does not match the manifest")
+    if len(found) != len(said):
+        raise ValueError(f"the manifest lists {len(said)} parts, and {len(found)} are there")
+    if {x[-1] for x in found} != {x[-1] for x in said}:
+        raise ValueError("the manifest's root is not that of its parts")
+    return manifest
 
 
 _POLY = 0xEDB88320
@@ -286,9 +364,9 @@ def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32, root) from a store's files; raises on any mismatch with digests, roots or lengths."""
+    """Rows (doc_id, start, n_tokens, ids_crc32, root) from a store's files; raises on any mismatch with the manifest, digests, roots or lengths."""
+    manifest = verify(spark, path)
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest")
     chunks = spark.read.schema(ROWS).parquet(f"{path}/packed").where("kind = 'chunk'").select("digest", "payload").mapInArrow(_check_chunks(width), "digest binary, crc long, n int")
     uses = recipes.select("part", "local", "n_tokens", "root", "digests", "lengths").mapInArrow(_spread, "part int, local long, digest binary, size int, after long")
     found = uses.join(chunks, "digest", "left").withColumn("n", F.when(F.col("n") == F.col("size"), F.col("n")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length"))))
@@ -299,13 +377,14 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return known.join(F.broadcast(manifest.select("part", F.col("start").alias("base"))), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "root")
 
 
-def tokens_of(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Rows (doc_id, start, at, ids): the stored ids themselves, a row per chunk; at orders a document's chunks."""
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").join(F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("base"))), "part")
+def tokens_of(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, at, n, ids): the stored ids themselves, a row per chunk; at orders a document's chunks."""
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").join(F.broadcast(verify(spark, path).select("part", F.col("start").alias("base"))), "part")
     each = recipes.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "digests", F.posexplode("lengths").alias("at", "n"))
     each = each.withColumn("digest", F.expr("substring(digests, 16 * at + 1, 16)")).drop("digests")
     chunks = spark.read.schema(ROWS).parquet(f"{path}/packed").where("kind = 'chunk'").select("digest", "payload")
-    return each.join(chunks, "digest").select("doc_id", "start", "at", "n", F.col("payload").alias("ids"))
+    lost = F.raise_error(F.lit("a chunk is missing")).cast("binary")
+    return each.join(chunks, "digest", "left").select("doc_id", "start", "at", "n", F.coalesce("payload", lost).alias("ids"))
 
 
 def store_round_trip(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

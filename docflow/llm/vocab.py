@@ -53,8 +53,9 @@ class Remembered(dict):
 
     def __missing__(self, piece: bytes):
         value = self.old.get(piece)
-        if value is None:
-            value = self.compute(piece)
+        return self.keep(piece, self.compute(piece) if value is None else value)
+
+    def keep(self, piece: bytes, value):
         if len(piece) <= LONG:
             if len(self) >= self.most:
                 self.old = dict(self)

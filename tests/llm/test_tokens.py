@@ -1,4 +1,5 @@
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -24,10 +25,12 @@ def test_counts_equal_the_library(spark):
     assert C.token_counts(docs.limit(0)).count() == 0
 
 
-def test_random_texts_encode_as_the_library_does():
+@pytest.mark.parametrize("block", [S.BLOCK, 2])
+def test_random_texts_encode_as_the_library_does(monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
     r = random.Random(3)
-    letters = ["a", " ", "\n", "B", "'s", "1", "\xa0", "é", "!", "  ", "\t", "<|endoftext|>", "—", "́", "​", " ", "ß"]
-    pieces, tokenizer = S.PieceIds(vocab.path(S.TOKENIZER)), vocab.load(vocab.path(S.TOKENIZER))
+    letters = ["a", " ", "\n", "\n\n", "B", "ab.", "r", "'s", "1", "\xa0", "é", "!", "  ", "\t", "<|endoftext|>", "—", "́", "​", " ", "ß"]
+    pieces, tokenizer = S.PieceIds(vocab.path(S.TOKENIZER), 4), vocab.load(vocab.path(S.TOKENIZER))
     counts, other = C.ChunkCounts(vocab.path(C.TOKENIZER)), vocab.load(vocab.path(C.TOKENIZER))
     for _ in range(1500):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 10)))
@@ -62,12 +65,49 @@ def test_round_trip(spark, tmp_path):
     assert S.store_round_trip(docs.limit(0), str(tmp_path / "none")).count() == 0
 
 
-def test_a_changed_chunk_is_found(spark, tmp_path):
+def test_a_store_that_was_changed_is_not_read(spark, tmp_path):
     path = str(tmp_path / "store")
-    S.write_store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), path)
-    broken = tmp_path / "broken" / "packed"
-    spark.read.parquet(f"{path}/packed").withColumn("payload", F.when(F.col("kind") == "chunk", F.lit(b"\1\0"))).write.partitionBy("kind").parquet(str(broken))
-    for name in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{name}").write.parquet(str(tmp_path / "broken" / name))
-    with pytest.raises(Exception, match="does not match its digest"):
-        S.read_store(spark, str(tmp_path / "broken")).collect()
+    S.write_store(spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string").repartition(3), path)
+    assert S.read_store(spark, path).count() == 40
+
+    def changed(name, made, said):
+        """The store with one table replaced."""
+        broken = tmp_path / uuid.uuid4().hex
+        for part in ("packed", "recipes", "manifest"):
+            table = spark.read.parquet(f"{path}/{part}")
+            out = (made(table) if part == name else table).write
+            (out.partitionBy("kind") if part == "packed" else out).parquet(str(broken / part))
+        with pytest.raises(Exception, match=said):
+            S.read_store(spark, str(broken)).collect()
+        with pytest.raises(Exception, match="digest" if "digest" in said else said):
+            S.tokens_of(spark, str(broken)).collect() if "digest" not in said else S.read_store(spark, str(broken)).collect()
+
+    one = F.col("doc_id") == 7
+    changed("packed", lambda t: t.withColumn("payload", F.when(F.col("kind") == "chunk", F.lit(b"\1\0"))), "does not match its digest")
+    changed("packed", lambda t: t.where("kind = 'recipe' or hex(digest) > '4'"), "a chunk is missing")
+    changed("recipes", lambda t: t.where("doc_id % 2 = 0"), "does not match the manifest")
+    changed("recipes", lambda t: t.where(~one), "does not match the manifest")
+    changed("recipes", lambda t: t.union(t.where(one)), "does not match the manifest")
+    changed("recipes", lambda t: t.withColumn("n_tokens", F.col("n_tokens") + one.cast("long")), "does not match the manifest")
+    changed("recipes", lambda t: t.withColumn("root", F.when(one, F.lit(b"0" * 16)).otherwise(F.col("root"))), "does not match the manifest")
+    changed("recipes", lambda t: t.where("part > 0"), "does not match the manifest|parts")
+    changed("manifest", lambda t: t.withColumn("n_docs", F.col("n_docs") + 1), "does not match the manifest")
+    changed("manifest", lambda t: t.withColumn("seal", F.lit(b"0" * 16)), "does not match the manifest")
+    changed("manifest", lambda t: t.withColumn("root", F.lit(b"0" * 16)), "root is not that of its parts")
+    changed("manifest", lambda t: t.where("part < 0"), "lists 0 parts")
+
+
+def test_blocks_of_recipes_make_one_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FAN", 4)
+    path = str(tmp_path / "store")
+    S.write_store(spark.createDataFrame([(i, f"text {i}") for i in range(90)], "doc_id long, text string"), path)
+    assert sum(r["n_docs"] for r in S.verify(spark, path).collect()) == 90 and S.read_store(spark, path).count() == 90
+
+
+def test_cuts_do_not_depend_on_blocks(monkeypatch):
+    ids = np.random.default_rng(2).integers(0, 50000, 9000).astype("<u2")
+    stops, whole = np.array([100, 5000, 9000]), []
+    for block in (S.BLOCK, 700):
+        monkeypatch.setattr(S, "BLOCK", block)
+        whole.append(S.cut_points(ids, stops))
+    assert whole[0] == whole[1] and [c[-1] for c in whole[0]] == stops.tolist()
