@@ -4,22 +4,24 @@ Every position that starts a string of ``length`` bytes is sorted among the posi
 
 1. One scan gives each position the least hash among the ``gram``-byte strings inside its window. Equal
    windows have equal keys, so a key's positions can be sorted apart from all others. Neighbouring
-   positions with one key form a run; a run is emitted as its key, a hash of its bytes and its place, no text.
-2. Keys with one run are done, unless the run repeats inside itself. Runs with equal key and bytes
+   positions with one key form a run; a run is emitted as its key, the BLAKE2b-128 digest of its bytes and
+   its place, no text. Long texts are scanned in pieces that overlap by a window.
+2. Keys with one run are done, unless the run repeats inside itself. Runs with equal key and digest
    repeat each other in whole. So sorting is left for keys under which different runs meet, the
    borders of repeated passages, with one run standing for all its copies.
 3. Those runs' texts are fetched and their suffixes sorted: multikey quicksort, 8 bytes at a time, to
    a shallow depth; then the groups that still agree go into blind tries, which branch on the first
    byte that differs from the node's reference and skip all bytes in between. Suffixes that agree in
-   ``length`` bytes repeat. (A key with more than ``crowd`` different runs is not sorted in one task;
-   its positions are counted by 128-bit digests.)
+   ``length`` bytes repeat. A key with more runs or bytes than one task should sort is first split by depth
+   over the cluster: its positions are dealt by their first 32 bytes, groups that are still too large by
+   64 and so on, and sorted as before; at full depth a group is one string, which needs no sorting.
 4. Repeated positions become byte spans, spans of a text are merged, and the rest is kept.
 
 Strings are judged on the input. Matches never cross texts.
 
 Defined results: null and empty texts, and texts shorter than ``length``, lose nothing; rows equal in
-doc_id and text repeat each other; null ids are fine; an empty table gives an empty table; other columns
-are not read.
+doc_id and text repeat each other; null ids are fine; an empty table gives an empty table; other columns,
+whatever their names, are not read; texts of any length (under 2 GB) are taken whole.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ from .common import _POWERS, _TABLE, Scratch, mix, slices, small
 LENGTH, GRAM, SHALLOW = 200, 40, 4  # bytes, bytes, 8-byte words
 _U = np.uint64
 _TOP = ~_U(0)
-RUNS = "key long, digest long, id long, h long, start int, n int, self boolean"
+RUNS = "key long, digest binary, id long, h long, start int, n int, self boolean"
+CUT = "key long, c long, id long, h long, start int, bytes binary"
+SEGMENT = 1 << 20  # positions of a long text that are scanned at once
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -52,14 +56,14 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes | None], length: int, gram: int):
-    """(text, start, n, key, digest, self) arrays of the runs of all texts."""
+    """(text, start, n, key, self) arrays of the runs of all texts."""
     data = np.frombuffer(b"".join([t or b"" for t in texts]), np.uint8)
     sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     none = np.empty(0, np.int64)
     width = length - gram + 1
     if len(data) < length:
-        return none, none, none, none.view(_U), none.view(_U), none.astype(bool)
+        return none, none, none, none.view(_U), none.astype(bool)
     up, down = _POWERS.to(len(data) + 1)
     letters = _TABLE[False].copy()
     letters[letters == 0] = mix(np.arange(901, 901 + int((letters == 0).sum()), dtype=_U)) | _U(1)
@@ -73,12 +77,11 @@ def runs_of(texts: list[bytes | None], length: int, gram: int):
     change[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | ~valid[:-1]
     first = np.flatnonzero(change & valid)
     if not len(first):
-        return none, none, none, none.view(_U), none.view(_U), none.astype(bool)
+        return none, none, none, none.view(_U), none.astype(bool)
     stop = np.searchsorted(np.flatnonzero(change | ~valid), first, "right")
     marks = np.append(np.flatnonzero(change | ~valid), len(least))
     n = marks[stop] - first
     key = least[first]
-    digest = mix((sums[first + n + length - 1] - sums[first]) * down[first] + n.astype(_U))
 
     # A run can repeat inside itself only if its least gram occurs in it twice, less than a window apart.
     far = ~sliding_min(np.concatenate([np.full(width - 1, _TOP), ~least, np.full(width - 1, _TOP)]), width)
@@ -94,15 +97,26 @@ def runs_of(texts: list[bytes | None], length: int, gram: int):
         for a, b, v in set(zip(low.tolist(), high.tolist(), grams[p].tolist(), strict=True)):
             if b - a > 1:
                 again[a : b + 1] |= key[a : b + 1] == _U(v)
-    return owner[first], first - (ends - sizes)[owner[first]], n, key, digest, again
+    return owner[first], first - (ends - sizes)[owner[first]], n, key, again
 
 
-def _runs(length: int, gram: int):
+def _runs(length: int, gram: int, segment: int = SEGMENT):
+    def parts(texts: list[bytes | None]) -> Iterator[tuple[list, int, int]]:
+        """(texts, number of the first, place in it). A run that a segment ends is two runs of one key, which are sorted among the others like any."""
+        if max(len(t or b"") for t in texts) <= segment:
+            yield texts, 0, 0
+            return
+        for k, t in enumerate(texts):
+            for at in range(0, len(t or b"") - length + 1, segment):
+                yield [t[at : at + segment + length - 1]], k, at
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            owner, start, n, key, digest, again = runs_of(texts, length, gram)
-            ids, h = (np.asarray(part.column(c), np.int64)[owner] for c in ("id", "h"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids), pa.array(h), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "digest", "id", "h", "start", "n", "self"])
+            for some, k, at in parts(texts):
+                owner, start, n, key, again = runs_of(some, length, gram)
+                digests = [hashlib.blake2b(some[o][a:b], digest_size=16).digest() for o, a, b in zip(owner.tolist(), start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+                ids, h = (np.asarray(part.column(c), np.int64)[owner + k] for c in ("id", "h"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digests, pa.binary()), pa.array(ids), pa.array(h), pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "digest", "id", "h", "start", "n", "self"])
 
     return run
 
@@ -244,16 +258,17 @@ def _cut(length: int):
     return run
 
 
-def _windows(length: int):
-    """A row per position of each run: its string's digest, weight and place."""
+def _positions(length: int, most: int = 1 << 12):
+    """A row per position of each run, in the form of a run of one position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, i, h, start, text in zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True):
+            for key, c, i, h, start, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 n = len(text) - length + 1
-                prints = [hashlib.blake2b(text[k : k + length], digest_size=16).digest() for k in range(n)]
-                same = lambda v, kind, n=n: pa.array([v] * n, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(prints), same(c, pa.int64()), same(i, pa.int64()), same(h, pa.int64()), pa.array(np.arange(start, start + n), pa.int32())], ["print", "c", "id", "h", "low"])
+                for at in range(0, n, most):
+                    m = min(most, n - at)
+                    same = lambda v, m=m: pa.array(np.full(m, v, np.int64))
+                    yield pa.RecordBatch.from_arrays([same(key), same(c), same(i), same(h), pa.array(np.arange(start + at, start + at + m, dtype=np.int32)), pa.array([text[k : k + length] for k in range(at, at + m)])], batch.schema.names)
 
     return run
 
@@ -280,32 +295,62 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "h", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 1 << 20, broadcast_ids: int = 1 << 20, crowd: int = 1 << 13) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts): rows (id, h, low, high) of repeated byte spans, and rows (id, h, text) of the texts that have some or might."""
+def _split_by_depth(positions: DataFrame, scratch: Scratch, length: int, crowd: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of CUT to sort, their key a group of at most ``crowd`` positions; spans of the groups that are one string).
+
+    Groups are strings of one key that agree in a prefix, which doubles until they are few enough.
+    """
+    left, depth, groups, spans = positions, 8 * SHALLOW, None, None
+    while spans is None:
+        depth = min(depth, length)
+        dealt = left.withColumn("key", F.xxhash64("key", F.substring("bytes", 1, depth)))
+        size = scratch.keep(dealt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+        few = dealt.join(small(size.where(F.col("k") <= crowd).select("key"), broadcast_ids), "key", "left_semi")
+        groups = few if groups is None else groups.unionByName(few)
+        left = scratch.keep(dealt.join(small(size.where(F.col("k") > crowd).select("key"), broadcast_ids), "key", "left_semi"), "crowded")
+        if depth == length:
+            twice = left.groupBy("key", "bytes").agg(F.sum("c").alias("k")).where("k > 1").select("key", "bytes")
+            spans = left.where("c = 1").join(twice, ["key", "bytes"], "left_semi").select("id", "h", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
+        depth *= 2
+    return groups, spans
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 1 << 20, broadcast_ids: int = 1 << 20, crowd: int = 1 << 13, crowd_bytes: int = 1 << 25, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """(spans, texts): rows (id, h, low, high) of repeated byte spans, and rows (id, h, text) of the texts that have some or might.
+
+    ``crowd``, ``crowd_bytes``: different runs and bytes of a key that one task sorts as they are. ``segment``: positions of a long text that are scanned at once.
+    """
     scan = docs.where(F.octet_length("text") >= length)
-    runs = scratch.keep(scan.mapInArrow(_runs(length, gram), RUNS), "runs")
+    runs = scratch.keep(scan.mapInArrow(_runs(length, gram, segment), RUNS), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("total"), F.bool_or("self").alias("any")).where("total > 1 or any").select("key")
     met = scratch.keep(runs.join(keys, "key"), "met")
     scratch.drop(runs)
     copies = met.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "start", "n")).alias("r"), F.bool_or("self").alias("any"))
     copies = scratch.keep(copies, "copies")
     whole = met.join(copies.where("c > 1").select("key", "digest"), ["key", "digest"]).select("id", "h", F.col("start").alias("low"), (F.col("start") + F.col("n") + length - 1).alias("high"))
-    mixed = copies.groupBy("key").agg(F.count("*").alias("kinds"), F.bool_or(F.col("any") & (F.col("c") == 1)).alias("own")).where("kinds > 1 or own").select("key", "kinds")
-    border = scratch.keep(copies.join(mixed, "key").select("key", "kinds", "c", "r.*"), "border")
+    whole = scratch.keep(whole, "whole")
+    mixed = copies.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("r.n") + length).alias("bytes"), F.bool_or(F.col("any") & (F.col("c") == 1)).alias("own")).where("kinds > 1 or own")
+    hot = (F.col("kinds") > crowd) | (F.col("bytes") > crowd_bytes)
+    border = scratch.keep(copies.join(mixed.select("key", hot.alias("hot")), "key").select("key", "hot", "c", "r.*"), "border")
+    scratch.drop(met, copies)
     ids = scratch.keep(whole.select("id", "h").union(border.select("id", "h")).distinct(), "ids")
     texts = scratch.keep(scan.join(small(ids, broadcast_ids), ["id", "h"], "left_semi"), "texts")
-    wanted = border.groupBy("id", "h").agg(F.collect_list(F.struct("key", "kinds", "c", "start", "n")).alias("wanted"))
-    asked = texts.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"]).select("id", "h", "text", "wanted")
-    cut = "key long, c long, id long, h long, start int, bytes binary"
-    few, many = (asked.withColumn("wanted", F.filter("wanted", test)).where("size(wanted) > 0") for test in (lambda w: w["kinds"] <= crowd, lambda w: w["kinds"] > crowd))
-    ordered = few.mapInArrow(_cut(length), cut).repartition("key").sortWithinPartitions("key")
-    found = scratch.keep(ordered.mapInArrow(_sorted_groups(length, batch_bytes), "id long, h long, low int, high int"), "spans")
-    if border.where(F.col("kinds") > crowd).limit(1).count():
-        # Too many different runs under one key to sort in one task: positions are counted by digest instead, combined before the shuffle.
-        each = scratch.keep(many.mapInArrow(_cut(length), cut).mapInArrow(_windows(length), "print binary, c long, id long, h long, low int"), "positions")
-        twice = each.groupBy("print").agg(F.sum("c").alias("k")).where("k > 1").select("print")
-        found = found.union(each.join(twice, "print").select("id", "h", "low", F.col("low") + length))
-    return whole.union(found), texts
+    any_hot = border.where("hot").limit(1).count() > 0
+
+    def cut(runs: DataFrame) -> DataFrame:
+        wanted = runs.groupBy("id", "h").agg(F.collect_list(F.struct("key", "c", "start", "n")).alias("wanted"))
+        return texts.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"]).select("id", "h", "text", "wanted").mapInArrow(_cut(length), CUT)
+
+    def sorted_spans(runs: DataFrame) -> DataFrame:
+        ordered = runs.repartition("key").sortWithinPartitions("key")
+        return scratch.keep(ordered.mapInArrow(_sorted_groups(length, batch_bytes), "id long, h long, low int, high int"), "spans")
+
+    spans = whole.union(sorted_spans(cut(border.where("not hot"))))
+    if any_hot:
+        positions = scratch.keep(cut(border.where("hot")).mapInArrow(_positions(length), CUT), "positions")
+        groups, same = _split_by_depth(positions, scratch, length, crowd, broadcast_ids)
+        spans = spans.union(sorted_spans(groups)).union(same)
+    return spans, texts
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts_out: bool = False, **options) -> DataFrame:

@@ -33,11 +33,11 @@ def made(seed: int) -> list[str | None]:
     return out + [out[0], out[0], out[13]]
 
 
-@pytest.mark.parametrize("length,gram,crowd", [(20, 6, 1 << 13), (33, 16, 1 << 13), (64, 40, 1 << 13), (20, 6, 1)])
-def test_equals_brute_force(spark, length, gram, crowd):
+@pytest.mark.parametrize("length,gram,crowd,segment", [(20, 6, 1 << 13, 1 << 20), (33, 16, 1 << 13, 17), (64, 40, 1 << 13, 1 << 20), (20, 6, 1, 50), (70, 16, 2, 1 << 20)])
+def test_equals_brute_force(spark, length, gram, crowd, segment):
     texts = made(length)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, h string").repartition(3)
-    rows = S.remove_repeats(docs, length, gram, crowd=crowd, batch_bytes=500).orderBy("doc_id").collect()
+    rows = S.remove_repeats(docs, length, gram, crowd=crowd, segment=segment, batch_bytes=500).orderBy("doc_id").collect()
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows] == brute(texts, length)
 
 
