@@ -7,14 +7,17 @@ but other blocks' text between them; calling one content and the other not costs
 minimum cut, found by maximum flow, is the labelling of least total cost.
 
 The classifier is logistic, over a block's ancestors (tags, and words of their class, id and role) and
-its text. Its weights are fixed values below; blocks of markup that carries no article (menus, headers
-and footers outside the article, scripts, forms, elements whose whole class or id says comments, and so on)
-have a cost no cut will pay. Such a word as a part of a name (left-sidebar, entry-header) is evidence that
-other evidence can outweigh, and none on wrappers around the article or most of the page's text.
-
-One scan, nothing is shuffled; pages do not meet. Defined results: a null or empty page has empty text
-and 0 characters; repeated rows are extracted alike; broken markup is closed as browsers do; an empty
-table gives an empty table; other columns are not read.
+its text. Its weights are fixed values below (there are no labelled blocks to train on). Elements that carry
+no article by HTML's own rules (menus, asides, forms, scripts, page headers and footers, an article inside an
+article, hidden elements) have a cost no cut will pay. Names are evidence: a whole class or id of such words
+(sidebar, comments) weighs more than one as a part of a name (left-sidebar, entry-header), and neither weighs
+anything on wrappers around the article or most of the page's text, nor a part in a title's header.
+
+One scan, nothing is shuffled; pages do not meet. Tags, open elements and names are looked up in time
+linear in the page, whatever its markup. Defined results: a null or empty page has empty text and 0 characters;
+repeated rows are extracted alike; broken markup is closed as browsers do; where a quote in a tag never ends,
+tags end at the next ``>``; an empty table gives an empty table; other columns are not read; pages of any
+length are taken whole.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+)|(<)", re.S)
+#: The same where quotes do not count.
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|(<)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
@@ -53,49 +59,115 @@ BAD = (
     r"pagination|pager|sidebar|side-bar|aside|widget|widgets|rail|related|recommended|recommendations|trending|popular|share|sharing|social|follow|newsletter|subscribe|subscription|signup|login|comment|comments|comment-list|commentlist|disqus|"
     r"reply|replies|respond|discussion|footer|foot|site-footer|header|site-header|masthead|topbar|copyright|legal|disclaimer|skip-link|skip|toolbar|search|tags|tag-cloud|byline-share)"
 )
-#: A whole class or id of such words is never content; such a word beside others in one is evidence against it.
-NAMES, PARTS = re.compile(rf"(?:^|\s){BAD}(?:[_-]+{BAD})*(?:$|\s)"), re.compile(rf"(?:^|[\s_-]){BAD}(?:$|[\s_-])")
+#: Fixed: words that say where an element is, beside such a word.
+PLACE = r"(?:section|block|box|area|container|wrapper|wrap|inner|outer|top|bottom|left|right|main|list|item|items|title|heading|bar|panel|group|[0-9]+)"
+#: A whole class or id of such words, and such a word beside others in one.
+NAMES, PARTS = re.compile(rf"(?:{PLACE}[\s_-]+)*{BAD}(?:[\s_-]+(?:{BAD}|{PLACE}))*"), re.compile(rf"(?:^|[\s_-]){BAD}(?:$|[\s_-])")
+#: Parts that a title's element may have inside an article.
+TITLE = re.compile(r"(?:^|[\s_-])(?:header|heading|title|masthead)(?:$|[\s_-])")
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|page-content|article-body|post-body|entry-content)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 # The classifier's weights, in nats for content, and the weights of the smoothness edges.
-WEIGHTS = {"bias": -0.4, "in_article": 3.0, "in_main": 2.0, "good_name": 1.2, "heading": 0.6, "paragraph": 1.0, "per_log_word": 0.35, "sentence": 0.8, "link_share": -4.0, "list_item": -0.8, "symbol_only": -1.0, "bad_part": -4.5}
+WEIGHTS = {"bias": -0.4, "in_article": 3.0, "in_main": 2.0, "good_name": 1.2, "heading": 0.6, "paragraph": 1.0, "per_log_word": 0.35, "sentence": 0.8, "link_share": -4.0, "link_share_in_article": 1.8, "list_item": -0.8, "symbol_only": -1.0, "bad_part": -4.5, "bad_name": -9.0}
 NEIGHBOUR, SIBLING, NEVER_COST = 0.6, 0.4, 1e6
 
 
+class Doubt(NamedTuple):
+    """An element whose name speaks against its text: its number, the next such element around it, and whether the whole name does."""
+
+    number: int
+    around: "Doubt | None"
+    whole: bool
+
+
+class State(NamedTuple):
+    """What an element gives to the text in it; article: the outermost article's number."""
+
+    never: bool = False
+    article: int = 0
+    main: bool = False
+    good: bool = False
+    doubt: Doubt | None = None
+
+
+class Open(NamedTuple):
+    """An open element; block, paragraph, cell: where in the stack the nearest block element, p or scope, and list part or list stand."""
+
+    tag: str
+    state: State
+    number: int
+    block: int
+    paragraph: int
+    cell: int
+
+
 class Block:
-    __slots__ = ("parts", "linked", "path", "never", "article", "main", "good", "doubts", "bad", "tag", "parent")
+    __slots__ = ("parts", "linked", "state", "bad", "tag", "parent")
+
+    def __init__(self, tag: str, state: State, parent: int):
+        self.parts, self.linked, self.state, self.tag, self.parent, self.bad = [], 0, state, tag, parent, 0.0
+
+
+#: What an end of a list part is looked for among, and where the search stops.
+CELLS = frozenset(x for ends in CLOSES.values() for x in ends) | {"ul", "ol", "dl", "table"}
+WHOLE = frozenset(("body", "html", "main", "article", "h1"))
+
 
-    def __init__(self, tag: str, path: tuple, state: tuple, parent: int):
-        self.parts, self.linked, self.tag, self.path, self.parent = [], 0, tag, path, parent
-        self.never, self.article, self.main, self.good, self.doubts = state
-        self.bad = False
+def inside(name: str, attributes: str, state: State, number: int) -> State:
+    """The state inside a new element."""
+    never, article, main, good, doubt = state
+    if never:
+        return state
+    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
+    role = found.get("role", "").lower()
+    # Attributes of whole-page wrappers say nothing about the text in them.
+    if name in NEVER or name == "footer" or name == "header" and not article or name == "article" and article:
+        return state._replace(never=True)
+    if role in ROLES and name not in WHOLE or found.get("aria-hidden") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return state._replace(never=True)
+    names = [x for x in (found.get("class", "").lower().strip(), found.get("id", "").lower().strip()) if x]
+    if names:
+        good = good or any(GOOD.search(x) for x in names)
+        if name not in WHOLE and any(PARTS.search(x) for x in names):
+            titled = article and (name == "header" or any(TITLE.search(x) for x in names))
+            whole = not titled and any(NAMES.fullmatch(x) for x in names)
+            if whole or not titled:
+                doubt = Doubt(number, doubt, whole)
+    if not article and (name == "article" or role == "article"):
+        article = number
+    return State(False, article, main or name == "main" or role == "main", good, doubt)
 
 
 def blocks_of(page: str) -> list[tuple[str, Block]]:
     """(text, block) in page order; texts are decoded, with white space as single spaces, and never empty."""
-    # An open element: tag, (never, the outermost article's number, main, good, numbers of elements with a bad part in their names), its serial number.
-    stack: list[tuple[str, tuple, int]] = [("", (False, 0, False, False, ()), 0)]
-    around: dict[int, tuple] = {}
+    stack = [Open("", State(), 0, 0, 0, 0)]
+    count: dict[str, int] = {}
+    around: dict[int, Doubt | None] = {}
     out: list[Block] = []
     current: Block | None = None
-    links = serial = 0
-    at, end = 0, len(page)
+    serial = 0
+    at, end, closed = 0, len(page), page.rfind(">")
+    token = TOKEN
     lower = None
 
     def leave(depth: int) -> None:
-        nonlocal links, current
-        for tag, _, _ in stack[depth:]:
-            links -= tag == "a"
-            if tag in BLOCK:
+        nonlocal current
+        for x in stack[depth:]:
+            count[x.tag] -= 1
+            if x.tag in BLOCK:
                 current = None
         del stack[depth:]
 
     while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends: the rest is text
-            text, name, closing, at = page[at:], None, "", end
+        if at > closed and page.find("<!--", at) != at:  # no tag ends any more: the rest is text
+            closing, name, attributes, text, at = "", None, "", page[at:], end
         else:
+            m = token.match(page, at)
+            if m[5] and token is TOKEN and page[at + 1 : at + 2].isascii() and page[at + 1 : at + 2].isalpha():
+                # A quote in this tag never ends. It is looked for once: from here on quotes do not count.
+                token = LOOSE
+                m = token.match(page, at)
             closing, name, attributes, text, angle = m.groups()
             at, text = m.end(), text or angle
         if name is None:
@@ -104,19 +176,19 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             if current is None:
                 if text.isspace():
                     continue
-                tag, state, number = stack[-1]
-                near = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
-                current = Block(near[0], (), state, near[2])
+                top = stack[-1]
+                near = stack[top.block]
+                current = Block(near.tag, top.state, near.number)
                 out.append(current)
             current.parts.append(text)
-            if links:
+            if count.get("a"):
                 current.linked += len(text)
             continue
         name = name.lower()
         if closing:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth:
-                leave(depth)
+            if count.get(name):
+                # What is passed on the way down is closed, so every element is passed once.
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
             elif name == "p":
                 current = None
             continue
@@ -137,85 +209,79 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             if name == "hr":
                 current = None
             continue
-        if name in ENDS_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in SCOPE), 0)
-            if depth and stack[depth][0] == "p":
-                leave(depth)
+        if name in ENDS_P and stack[stack[-1].paragraph].tag == "p":
+            leave(stack[-1].paragraph)
         for other in CLOSES.get(name, ()):
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == other or (stack[k][0] in ("ul", "ol", "dl", "table"))), 0)
-            if depth and stack[depth][0] == other:
+            # Between two lists or tables there is at most one open part of each kind.
+            depth = stack[-1].cell if count.get(other) else 0
+            while depth and stack[depth].tag != other:
+                depth = 0 if stack[depth].tag in ("ul", "ol", "dl", "table") else stack[depth - 1].cell
+            if depth:
                 leave(depth)
-        never, article, main, good, doubts = stack[-1][1]
-        if not never:
-            if name in NEVER or (name in ("header", "footer") and not (name == "header" and article)):
-                never = True
-            elif attributes and not attributes.isspace():
-                found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-                names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-                role = found.get("role", "").lower()
-                # Attributes of whole-page wrappers say nothing about the text in them.
-                named = name not in ("body", "html", "main", "article", "h1")
-                # A header inside an article holds its title, so its name is evidence only.
-                if named and (name != "header" and NAMES.search(names) or role in ROLES) or found.get("aria-hidden") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
-                    never = True
-                else:
-                    good = good or bool(GOOD.search(names))
-                    if named and PARTS.search(names):
-                        doubts = (*doubts, serial + 1)
-                main = main or role == "main"
-                if role == "article" and not article:
-                    article = serial + 1
-                    around[article] = doubts
-            if name == "article":
-                # An article inside an article is a reader's comment by the HTML standard.
-                never = never or bool(article)
-                if not article:
-                    article = serial + 1
-                    around[article] = doubts
-            main = main or name == "main"
         serial += 1
+        state = inside(name, attributes, stack[-1].state, serial)
+        if state.article == serial:
+            around[serial] = state.doubt
         if name in BLOCK:
             current = None
-        links += name == "a"
-        stack.append((name, (never, article, main, good, doubts), serial))
+        count[name] = count.get(name, 0) + 1
+        top, here = stack[-1], len(stack)
+        stack.append(Open(name, state, serial, here if name in BLOCK else top.block, here if name == "p" or name in SCOPE else top.paragraph, here if name in CELLS else top.cell))
     done = []
     for b in out:
         text = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
         if text:
             done.append((text, b))
-    if any(b.doubts for _, b in done):
-        _doubt(done, around)
+    _doubt(done, around)
     return done
 
 
-def _doubt(found: list[tuple[str, Block]], around: dict[int, tuple]) -> None:
-    """Marks blocks in elements whose names hold a bad part, but for wrappers: elements around the largest article, or with over half of the page's text."""
-    held, articles, whole = {}, {}, 0
+def _doubt(found: list[tuple[str, Block]], around: dict[int, Doubt | None]) -> None:
+    """Sets what names say against blocks. Wrappers say nothing: elements around the largest article, or with over half of the page's text."""
+    held, known, articles, whole = {}, {}, {}, 0
     for text, b in found:
-        if not b.never:
+        if not b.state.never:
             n = max(0, len(text) - b.linked)
             whole += n
-            for e in b.doubts:
-                held[e] = held.get(e, 0) + n
-            if b.article:
-                articles[b.article] = articles.get(b.article, 0) + n
-    wrappers = {e for e, n in held.items() if 2 * n > whole}
-    if articles:
-        wrappers.update(around[max(articles, key=articles.get)])
+            if b.state.doubt:
+                held[b.state.doubt.number] = held.get(b.state.doubt.number, 0) + n
+            x = b.state.doubt
+            while x and x.number not in known:
+                known[x.number] = x
+                x = x.around
+            if b.state.article:
+                articles[b.state.article] = articles.get(b.state.article, 0) + n
+    if not known:
+        return
+    # An element's text is that of the elements in it too; those have higher numbers.
+    for number in sorted(known, reverse=True):
+        if known[number].around:
+            outer = known[number].around.number
+            held[outer] = held.get(outer, 0) + held.get(number, 0)
+    wrappers = {number for number, n in held.items() if 2 * n > whole}
+    x = around[max(articles, key=articles.get)] if articles else None
+    while x:
+        wrappers.add(x.number)
+        x = x.around
+    against: dict[int, float] = {}
+    for number in sorted(known):
+        own = 0.0 if number in wrappers else WEIGHTS["bad_name" if known[number].whole else "bad_part"]
+        against[number] = min(own, against[known[number].around.number] if known[number].around else 0.0)
     for _, b in found:
-        b.bad = any(e not in wrappers for e in b.doubts)
+        if b.state.doubt and not b.state.never:
+            b.bad = against[b.state.doubt.number]
 
 
 def costs(text: str, block: Block, has_article: bool) -> tuple[float, float]:
     """(cost of calling it boilerplate, cost of calling it content): the two negative log-likelihoods of the classifier."""
-    if block.never:
+    if block.state.never:
         return 0.0, NEVER_COST
-    w = WEIGHTS
+    w, state = WEIGHTS, block.state
     words = text.count(" ") + 1
     z = w["bias"] + w["per_log_word"] * math.log1p(words)
-    z += w["in_article"] * (1.0 if block.article else -1.0 if has_article else 0.0) + w["in_main"] * block.main + w["good_name"] * block.good + w["bad_part"] * block.bad
+    z += w["in_article"] * (1.0 if state.article else -1.0 if has_article else 0.0) + w["in_main"] * state.main + w["good_name"] * state.good + block.bad
     z += w["heading"] * (block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + w["paragraph"] * (block.tag in ("p", "blockquote", "pre")) + w["list_item"] * (block.tag == "li")
-    z += w["sentence"] * (text[-1] in ".!?…\"'”’") + w["link_share"] * min(1.0, block.linked / max(1, len(text))) + w["symbol_only"] * (not any(map(str.isalnum, text)))
+    z += w["sentence"] * (text[-1] in ".!?…\"'”’") + (w["link_share"] + w["link_share_in_article"] * bool(state.article)) * min(1.0, block.linked / max(1, len(text))) + w["symbol_only"] * (not any(map(str.isalnum, text)))
     return math.log1p(math.exp(min(z, 50.0))), math.log1p(math.exp(min(-z, 50.0)))
 
 
@@ -285,7 +351,7 @@ def content_of(page: str) -> list[str]:
     found = blocks_of(page)
     if not found:
         return []
-    has_article = any(b.article and not b.never for _, b in found)
+    has_article = any(b.state.article and not b.state.never for _, b in found)
     prices = [costs(t, b, has_article) for t, b in found]
     edges, last = [], {}
     for i, (_, b) in enumerate(found):
@@ -295,7 +361,7 @@ def content_of(page: str) -> list[str]:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
     side = minimum_cut([p[0] for p in prices], [p[1] for p in prices], edges)
-    return [t for (t, b), inside in zip(found, side, strict=True) if inside and not b.never]
+    return [t for (t, b), kept in zip(found, side, strict=True) if kept and not b.state.never]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

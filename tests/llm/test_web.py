@@ -1,5 +1,8 @@
 import itertools
 import random
+import time
+
+import pytest
 
 from docflow.llm import html_extract as H
 from docflow.llm import url_filter as U
@@ -27,6 +30,42 @@ def test_names_of_wrappers_veto_nothing():
         assert H.content_of(f"<article>{body}<div {attributes}>Out of sight.</div></article>") == want
 
 
+SAYS = ["A long sentence that goes on for a while and says things.", "Another one follows it here, with more words."]
+BODY = "".join(f"<p>{x}</p>" for x in SAYS)
+
+#: (page, text of its main part)
+LABELLED = [
+    (f"<article><header class='entry-header'><h1>Title</h1></header>{BODY}</article>", ["Title", *SAYS]),
+    (f"<article><div class='post-header'><h1>Title</h1></div>{BODY}</article>", ["Title", *SAYS]),
+    (f"<article><h1>T</h1>{BODY}<section id='discussion'><h2>Discussion</h2>{BODY}</section></article>", ["T", *SAYS, "Discussion", *SAYS]),
+    (f"<article><h1>T</h1>{BODY}<section class='related work'><h2>Related work</h2>{BODY}</section></article>", ["T", *SAYS, "Related work", *SAYS]),
+    (f"<div class='banner-layout page-wrap'><article><h1>T</h1>{BODY}</article></div><div class=banner>Buy this now, it is good for you.</div>", ["T", *SAYS]),
+    (f"<article><h1>T</h1>{BODY}<ul><li><a href=x>One link of words</a><li>Two things</ul></article>", ["T", *SAYS, "One link of words", "Two things"]),
+    (f"<article><h1>T</h1>{BODY}<div class='comments'><p>Nice article, I read it all, and it was good for me to see.</p></div><div id=comment-list><p>I think so too, it is a nice thing to read.</p></div></article>", ["T", *SAYS]),
+    (f"<div><h1>T</h1>{BODY * 3}</div><div class='comments-section'><p>Nice article, I read it all, and it was good for me.</p></div><div class='newsletter box'>Get our mails now.</div>", ["T", *SAYS * 3]),
+    (f"<main><h1>T</h1>{BODY}</main><div class=cookie-notice><p>We use cookies. Do you agree with all of them?</p></div><aside><p>{SAYS[0]}</p></aside><footer><p>{SAYS[1]}</p></footer>", ["T", *SAYS]),
+    (f"<div role=banner><p>{SAYS[0]}</p></div><div id=content><h2>T</h2>{BODY}<form><p>{SAYS[0]}</p></form></div><div role=contentinfo><p>{SAYS[1]}</p></div>", ["T", *SAYS]),
+]
+
+
+def test_labelled_pages():
+    assert [H.content_of(f"<body>{page}</body>") for page, _ in LABELLED] == [want for _, want in LABELLED]
+
+
+#: Pages on which looking back over open elements or ahead for the end of a tag would take time in their square.
+DEEP = {
+    "open quotes": "<a '" * 20001, "ends of nothing": "<b>" * 20000 + "</i>" * 20000, "paragraph out of reach": "<p><td>" + "<h1>" * 20000, "items out of reach": "<li><ul>" + "<b>" * 10000 + "<li>x</li>" * 10000, "blocks in a deep place": "<b>" * 20000 + "x<hr>" * 20000,
+    "names in names": "<div class=x-ad>y" * 20000, "a quote that never ends": "<a '>'" * 20000 + '"', "declarations": "<!" * 40000, "comments": "<!--" * 40000, "attributes": "<a " + "x " * 40000 + ">t", "articles": "<article>" * 20000 + "x", "blocks": BODY * 5000, "cells": "<table>" + "<tr><td>x" * 10000,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_any_markup_takes_linear_time(name):
+    began = time.process_time()
+    H.content_of(DEEP[name])
+    assert time.process_time() - began < 5
+
+
 def test_page_without_article_element():
     page = "<body><div id=nav><a href=x>Home</a> <a href=y>About</a></div><div><h2>Head</h2><p>A long sentence that goes on for a while and says things.</p><p>Another one follows it here, with more words.</p></div><ul><li><a href=1>Link one</a><li><a href=2>Link two</a></ul>"
     assert H.content_of(page) == ["Head", "A long sentence that goes on for a while and says things.", "Another one follows it here, with more words."]
