@@ -9,7 +9,7 @@ allow.
 
 Defined results: null URLs and those without ``://`` have empty host and path, no rule and verdict allow, and
 are nobody's alias; null html has no links; repeated rows are judged alike; of equally long rules allow wins;
-an empty table gives an empty table; other columns are not read.
+an empty table gives an empty table; other columns are not read; URLs and pages of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -22,26 +22,28 @@ from .components import connected_components
 
 #: (host and path as one string, allowed)
 RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False)]
-PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+PARTS = r"^([^/?#]*)([^?#]*)"
 TRACKING = r"(?i)^(?:utm_[a-z_]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|sessionid|sid)(?:=|$)"
-FEW_RULES = 256  # more are joined instead of written out
+FEW_RULES, BROADCAST_RULES = 256, 1 << 18  # more are joined instead of written out, and joined by shuffle
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(_first(url), PARTS, 1), F.lit("")), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_rest(url), PARTS, 1), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_first(url), PARTS, 2), F.lit(""))
+    return F.regexp_extract(_rest(url), PARTS, 2)
 
 
-def _first(url: Column) -> Column:
-    return F.coalesce(url, F.lit(""))
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
 
 
 def redirect_target(url: Column) -> Column:
     """Where a server sends ``url``: the form all trivial variants share, without its scheme; null if it has no host."""
-    tail = F.regexp_extract(_first(url), r"(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)", 1)
+    tail = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
     query = F.array_join(F.array_sort(F.filter(F.split(tail, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
     host = F.regexp_replace(F.regexp_replace(host_of(url), r":(?:80|443)$", ""), r"^www\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.(?:html?|php)$", "/"), r"/+$", "")
@@ -59,11 +61,11 @@ def absolute(link: Column, base: Column) -> Column:
 
 def page_links(html: Column, url: Column) -> Column:
     """URLs a page declares itself to be: canonical links and refresh targets outside comments and scripts."""
-    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
     value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))"""
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""))
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^<>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""))
     hrefs = F.transform(links, lambda t: F.concat(*[F.regexp_extract(t, r"(?is)\bhref" + value, k) for k in (1, 2, 3)]))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^<>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
     jumps = F.transform(metas, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'>]*)""", 1))
     return F.filter(F.transform(F.concat(hrefs, jumps), lambda x: absolute(x, url)), lambda x: x.isNotNull())
 
@@ -83,6 +85,8 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, bool]] = RULES) -> DataF
         return pages.withColumn("found", out).select("*", "found.rule", "found.allowed").drop("found")
     spark = pages.sparkSession
     table = spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, a) for r, a in best], "domain string, prefix string, rule string, allowed boolean")
+    # The rules are a list that the caller holds, so their number is known.
+    table = F.broadcast(table) if len(best) <= BROADCAST_RULES else table
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     hosts = pages.select("host", "path").distinct()

@@ -103,6 +103,49 @@ def test_rules(spark):
     assert out[7] == out[8] == ("", "", None, "allow") and out[9] == ("x.org", "", None, "allow")
 
 
+def brute_verdicts(rows):
+    """The same by hand, for URLs of the shape scheme://[www.]host/path[/][?utm_x=1][#y] and canonical links."""
+    form = lambda u: u.partition("://")[2].partition("#")[0].partition("?")[0].removeprefix("www.").rstrip("/")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for _, url, link in rows:
+        if link:
+            a, b = sorted((find(form(url)), find(form(link))))
+            root[b] = a
+    own = {}
+    for page, url, _ in rows:
+        host, slash, path = url.partition("://")[2].partition("#")[0].partition("?")[0].partition("/")
+        fits = [(len(r), ok) for r, ok in U.RULES if ("." + host).endswith("." + r.partition("/")[0]) and (slash + path).startswith("/" + r.partition("/")[2])]
+        own[page] = max(fits, default=(0, None))[1]
+    decided = {}
+    for page, url, _ in rows:
+        if own[page] is not None:
+            decided.setdefault(find(form(url)), set()).add(own[page])
+    return {page: "allow" if (own[page] if own[page] is not None else True in decided.get(find(form(url)), {True})) else "block" for page, url, _ in rows}
+
+
+def test_verdicts_equal_brute_force(spark):
+    r = random.Random(8)
+    urls = [f"{s}://{w}{h}{p}{t}" for s in ("http", "https") for w in ("", "www.") for h in ("a.net", "b.com", "example.org", "c.info", "d.eu") for p in ("/de/1", "/fr/2", "/es/3", "/en/1x", "/q") for t in ("", "/", "?utm_x=1", "#y")]
+    rows = [(i, r.choice(urls), r.choice(urls) if r.random() < 0.3 else None) for i in range(150)]
+    rows += [(900 + i, f"http://chain.net/{i}", f"http://chain.net/{i + 1}") for i in range(40)] + [(990, "http://b.com/de/77", "http://chain.net/20")]
+    out = judged(spark, [(i, u, f"<link rel=canonical href={c}>" if c else None) for i, u, c in rows])
+    want = brute_verdicts(rows)
+    assert {i: v[3] for i, v in out.items()} == want and want[900] == "block" and set(want.values()) == {"allow", "block"}
+
+
+def test_urls_of_any_length_repeated_rows_and_an_empty_table(spark):
+    long = "http://" + "x" * 200_000 + "://" * 1000 + "/de/"
+    out = judged(spark, [(1, long, "<link " * 20_000 + "<!--" * 20_000), (2, "http://b.com/de/" + "y" * 500_000, "<script" * 20_000), (2, "http://b.com/de/" + "y" * 500_000, None)])
+    assert out[1][0] == "x" * 200_000 + ":" and out[1][3] == "allow" and out[2][2:] == ("com/de/", "block")
+    assert U.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_decisions_reach_aliases(spark):
     canonical = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [
