@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE, "op8_mix_sources": mixing.oracle()}
+    return {"op3_url_filters": url_filter.ORACLE, "op5_quality_rules": quality.ORACLE, "op8_mix_sources": mixing.oracle()}

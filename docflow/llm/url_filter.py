@@ -114,3 +114,28 @@ def judge(pages: DataFrame, rules: list[tuple[str, bool]] = RULES, redirects: Da
     explicit = named.where("alias is not null and allowed is not null").groupBy("alias").agg(F.bool_or("allowed").alias("alias_allowed"))
     out = named.join(explicit, "alias", "left").withColumn("decision", F.coalesce("allowed", "alias_allowed", F.lit(True)))
     return out.select("page_id", "host", "path", "rule", F.when(F.col("decision"), "allow").otherwise("block").alias("verdict"), "alias")
+
+
+def _rule_sql(rules: list[tuple[str, bool]]) -> str:
+    cases = []
+    for rule, allowed in sorted(rules, key=lambda r: (-len(r[0]), not r[1])):
+        domain, _, rest = rule.partition("/")
+        cases.append(f"WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{rest}') THEN {{rule: '{rule}', allowed: {str(allowed).lower()}}}")
+    return f"CASE {' '.join(cases)} END"
+
+
+_TARGET_SQL = r"""CASE WHEN h <> '' THEN h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END FROM (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www[.]', '') AS h,
+ regexp_replace(regexp_replace(path, '/index[.](html?|php)$', '/'), '/+$', '') AS p, array_to_string(list_sort(list_filter(string_split(tail, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z_]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|sessionid|sid)(=|$)'))), '&') AS q"""
+_PARTS_SQL = rf"""SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS tail
+ FROM (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM"""
+#: The same as DuckDB SQL, for whole-URL canonical links; components by repeated least ends.
+ORACLE = rf"""
+WITH RECURSIVE own AS (SELECT page_id, host, path, html, {_rule_sql(RULES)} AS found, "form" FROM (SELECT *, {_TARGET_SQL.replace("END FROM", 'END AS "form" FROM', 1)} FROM ({_PARTS_SQL} pages))))),
+ links AS (SELECT own."form" AS a, unnest(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link[^<>]*>'), lambda t: regexp_matches(t, '(?i)rel\s*=\s*["'']?[^"''>]*canonical')), lambda t: regexp_extract(t, '(?is)href\s*=\s*["'']?([^"''\s>]*)', 1))) AS url FROM own),
+ edges AS (SELECT a, b FROM (SELECT a, {_TARGET_SQL.replace("END FROM", "END AS b FROM", 1)} FROM ({_PARTS_SQL} links)))) WHERE a <> b),
+ ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+ reach(a, b) AS (SELECT a, a FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+ named AS (SELECT own.*, coalesce(c.alias, own."form") AS alias FROM own LEFT JOIN (SELECT a, min(b) AS alias FROM reach GROUP BY a) c ON own."form" = c.a),
+ said AS (SELECT alias, bool_or(found.allowed) AS allowed FROM named WHERE alias IS NOT NULL AND found IS NOT NULL GROUP BY alias)
+SELECT page_id, host, path, found.rule AS rule, CASE WHEN coalesce(found.allowed, said.allowed, true) THEN 'allow' ELSE 'block' END AS verdict, named.alias AS alias FROM named LEFT JOIN said USING (alias)
+"""
