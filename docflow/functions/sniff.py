@@ -24,7 +24,7 @@ SCAN_BYTES = 4096
 
 
 def _bytes(text: str) -> Column:
-    return F.unhex(F.lit(text))
+    return F.expr(f"X'{text}'")
 
 
 def starts_with(content: Column, magic: str) -> Column:
@@ -52,7 +52,8 @@ def sniff(content: Column, filename: Column, mime: Column | None = None) -> Colu
     ext, enough = F.coalesce(extension(filename), F.lit("")), F.coalesce(F.octet_length(content) >= 4, F.lit(False))
 
     def found(kind: str, *warnings: str) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.array(*[F.lit(w) for w in warnings]).cast("array<string>").alias("warnings"))
+        listed = ", ".join(f"'{w}'" for w in warnings)
+        return F.expr(f"named_struct('kind', '{kind}', 'warnings', cast(array({listed}) AS array<string>))")
 
     def any_of(magics: tuple[str, ...]) -> Column:
         out = starts_with(content, magics[0])
@@ -69,9 +70,8 @@ def sniff(content: Column, filename: Column, mime: Column | None = None) -> Colu
     for kind in ("pdf", "docx", "xlsx", "csv"):
         out = out.when(ext == kind, found(kind))
     out = out.when(ext.isin(*LEGACY_EXTENSIONS), found("other", LEGACY_NAME)).when(ext.isin(*IMAGE_EXTENSIONS), found("image")).when(ext.isin(*TEXT_EXTENSIONS), found("text"))
-    for kind in ("pdf", "image", "docx", "xlsx", "csv", "text"):
-        out = out.when(mime_kind(mime) == kind, found(kind))
-    return out.otherwise(found("other", UNKNOWN))
+    by_mime = mime_kind(mime)
+    return out.when(by_mime.isNotNull(), found("").withField("kind", by_mime)).otherwise(found("other", UNKNOWN))
 
 
 def image_mime(content: Column, fallback: str = "image/png") -> Column:

@@ -6,7 +6,7 @@ space is the ECMAScript set, which neither of Java's ``\\s`` modes equals, so it
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space of ECMAScript.
@@ -26,6 +26,11 @@ REC_MODELS = {"latin": "en", "arabic": "ar", "cyrillic": "ru", "cjk": "zh", "dev
 SAMPLE_BYTES = 8192
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once: the optimizer copies a projection into every use, but not a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def nonws_length(text: Column) -> Column:
     """Code points that are not white space."""
     return F.length(F.regexp_replace(text, JSWS, ""))

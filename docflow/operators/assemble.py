@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import utf16_length, utf16_prefix
+from ..functions.text import bound, utf16_length, utf16_prefix
 
 PAGES = "array<struct<index int, text string, source string>>"
 MAX_CHARS, MAX_PAGES = 50_000, 20
@@ -15,38 +15,30 @@ STAGE = {"rapidocr": "rapidocr", "granite-docling": "granite", "vlm": "vlm"}
 TEXT_ENGINES = ("pdfjs-text", "mammoth", "xlsx", "text")
 
 
-def source_of(pages: Column) -> Column:
-    """The one source of all pages, mixed, or none without pages."""
-    kinds = F.array_distinct(F.transform(pages, lambda p: p["source"]))
-    return F.when(F.size(pages) == 0, "none").when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("mixed")
+#: Of pages_out: the one source of all pages, mixed, or none without pages; texts that are not empty, joined.
+SOURCE_OF = "CASE WHEN size(pages_out) = 0 THEN 'none' WHEN size(array_distinct(pages_out.source)) = 1 THEN pages_out.source[0] ELSE 'mixed' END"
+JOINED = r"array_join(filter(pages_out.text, t -> t <> ''), '\n\n')"
 
 
-def joined_text(pages: Column) -> Column:
-    return F.array_join(F.filter(F.transform(pages, lambda p: p["text"]), lambda t: t != ""), "\n\n")
-
-
-def meta(pages: Column, text: Column, profile_pages: Column) -> Column:
-    count = lambda source: F.size(F.filter(pages, lambda p: p["source"] == source))
-    total = F.when(F.size(pages) > 0, F.size(pages)).when(profile_pages > 0, profile_pages).otherwise(1)
-    return F.struct(
-        F.size(pages).alias("pages_processed"), total.alias("total_pages"), count("native").alias("native_pages"), count("ocr").alias("ocr_pages"), count("vlm").alias("vlm_pages"),
-        F.lit(False).alias("truncated"), utf16_length(text).alias("chars"),
-    )
+def meta(pages: str = "pages") -> Column:
+    """Counts of pages_out and text; ``pages``: an expression of the profile's page count."""
+    count = lambda source: f"size(filter(pages_out.source, s -> s = '{source}'))"
+    return F.expr(f"""named_struct('pages_processed', size(pages_out), 'total_pages', CASE WHEN size(pages_out) > 0 THEN size(pages_out) WHEN {pages} > 0 THEN {pages} ELSE 1 END,
+     'native_pages', {count("native")}, 'ocr_pages', {count("ocr")}, 'vlm_pages', {count("vlm")}, 'truncated', false, 'chars', cast(octet_length(encode(text, 'UTF-16BE')) / 2 AS int))""")
 
 
 def documents(rows: DataFrame) -> DataFrame:
     """``rows`` (pages_out, pages) with text, source and meta."""
-    out = rows.withColumn("text", joined_text(F.col("pages_out"))).withColumn("source", source_of(F.col("pages_out")))
-    return out.withColumn("meta", meta(F.col("pages_out"), F.col("text"), F.col("pages")))
+    out = bound(rows, text=F.expr(JOINED), source=F.expr(SOURCE_OF))
+    return out.withColumn("meta", meta())
 
 
 def limit_chars(rows: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """Cuts text (not the pages) to ``most`` UTF-16 units, with a warning and the counts to match."""
-    n = utf16_length(F.col("text"))
-    note = F.concat(F.lit("truncated_chars:"), n.cast("string"), F.lit(f"_to_{most}"))
-    cut = F.col("meta").withField("truncated", F.lit(True)).withField("chars", F.lit(most))
-    over = n > most
-    return rows.select(*[c for c in rows.columns if c not in ("text", "warnings", "meta")], F.when(over, utf16_prefix(F.col("text"), most)).otherwise(F.col("text")).alias("text"), F.when(over, F.array_append("warnings", note)).otherwise(F.col("warnings")).alias("warnings"), F.when(over, cut).otherwise(F.col("meta")).alias("meta"))
+    over = F.col("meta.chars") > most
+    note = f"concat('truncated_chars:', cast(meta.chars AS string), '_to_{most}')"
+    counts = f"if(meta.chars > {most}, named_struct('pages_processed', meta.pages_processed, 'total_pages', meta.total_pages, 'native_pages', meta.native_pages, 'ocr_pages', meta.ocr_pages, 'vlm_pages', meta.vlm_pages, 'truncated', true, 'chars', {most}), meta)"
+    return rows.select(*[c for c in rows.columns if c not in ("text", "warnings", "meta")], F.when(over, utf16_prefix(F.col("text"), most)).otherwise(F.col("text")).alias("text"), F.expr(f"if(meta.chars > {most}, array_append(warnings, {note}), warnings)").alias("warnings"), F.expr(counts).alias("meta"))
 
 
 def from_page_table(pages: DataFrame, key: str = "doc_id") -> DataFrame:

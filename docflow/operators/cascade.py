@@ -3,7 +3,8 @@
 A conditional expression does not keep a Python engine from running on rows that do not need it. So
 each rank of the plan runs on what the ranks before it left: documents whose strategy there is a
 given engine go through that engine's sub-plan; those with enough text are done, the rest carry
-their warnings on. What a rank made is read twice, by both continuations, so it is written once.
+their warnings on. What a rank made is read twice, by both continuations, so it is written once,
+without the documents' content.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import nonws_length, trim, utf16_length
+from ..functions.text import bound, nonws_length, trim, utf16_length
 from .assemble import MAX_PAGES, PAGES, SOURCE, TEXT_ENGINES, documents
 
 FLOOR, DEPTH = 3, 4
@@ -48,29 +49,37 @@ def plain_text(decode: Callable[[Column], Column]) -> Callable[[Column], Column]
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its plan, in the folder of spark.checkpoint.dir; only where that is unset a temporary one is set."""
+    """``df`` computed once and cut from its plan, in the folder of spark.checkpoint.dir. Only a local master without one gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docflow-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docflow-"))
     return df.checkpoint()
 
 
+def _few(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """``df``, marked for broadcast only if it was counted and has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _missed(part: DataFrame, note: Column) -> DataFrame:
-    return part.select("*", F.array().cast(PAGES).alias("pages_out"), F.lit(0).alias("chars"), F.array(note).alias("notes"))
+    return part.drop("content").select("*", F.array().cast(PAGES).alias("pages_out"), F.lit(0).alias("chars"), F.array(note).alias("notes"))
 
 
 def _by_extractor(part: DataFrame, tag: str, extract: Callable[[Column], Column] | None, floor: int) -> DataFrame:
     if extract is None:
         return _missed(part, F.lit(f"{tag}: no extractor wired, skipping"))
-    rows = part.withColumn("_got", extract(F.col("content")))
-    text = F.coalesce("_got.text", F.lit(""))
-    n = nonws_length(text)
+    rows = bound(part, _got=extract(F.col("content"))).drop("content")
+    rows = bound(rows, _n=nonws_length(F.coalesce("_got.text", F.lit(""))))
+    text, n = F.coalesce("_got.text", F.lit("")), F.col("_n")
     page = F.array(F.struct(F.lit(0).alias("index"), trim(text).alias("text"), F.lit(SOURCE[tag]).alias("source"))).cast(PAGES)
     failed = F.concat(F.lit(f"{tag} extractor failed: "), F.col("_got.error"))
     short = F.concat(F.lit(f"{tag}: only "), n.cast("string"), F.lit(" non-ws chars, falling through"))
     notes = F.when(F.col("_got.error").isNotNull(), F.array(failed)).when(n < floor, F.array(short)).otherwise(F.array().cast("array<string>"))
     got = F.col("_got.error").isNull() & (n >= floor)
-    return rows.select("*", F.when(got, page).otherwise(F.array().cast(PAGES)).alias("pages_out"), F.when(got, n).otherwise(0).alias("chars"), notes.alias("notes")).drop("_got")
+    return rows.select("*", F.when(got, page).otherwise(F.array().cast(PAGES)).alias("pages_out"), F.when(got, n).otherwise(0).alias("chars"), notes.alias("notes")).drop("_got", "_n")
 
 
 def _by_reader(part: DataFrame, tag: str, reader: Engine | None, images: DataFrame | None, floor: int, max_pages: int) -> DataFrame:
@@ -82,22 +91,25 @@ def _by_reader(part: DataFrame, tag: str, reader: Engine | None, images: DataFra
     pages = whole
     capped = None
     if images is not None:
-        own = images.join(part.where("kind = 'pdf'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "index", "image")
+        # Only images of the documents that are left are read; they are not shuffled while those are few.
+        own = images.join(_few(part.where("kind = 'pdf'").select("doc_id")), "doc_id", "left_semi").select("doc_id", "index", "image")
         # The budget cuts pages before any is recognised.
         pages = whole.union(own.where(F.col("index") < max_pages) if max_pages > 0 else own)
         capped = own.groupBy("doc_id").agg(F.count("*").alias("_all"))
-    read = pages.withColumn("_got", reader.recognize(F.col("image")))
+    read = bound(pages, _got=reader.recognize(F.col("image"))).drop("image")
     failed = F.when(F.col("_got.error").isNotNull(), F.concat(F.lit(f"{reader.name}: page "), F.col("index").cast("string"), F.lit(" failed ("), F.col("_got.error"), F.lit(")")))
     text = F.when(F.col("_got.error").isNull(), trim(F.coalesce("_got.text", F.lit("")))).otherwise("")
     done = read.select("doc_id", F.struct(F.col("index").cast("int").alias("index"), text.alias("text"), F.lit(SOURCE[tag]).alias("source")).alias("page"), failed.alias("failed"))
     byd = done.groupBy("doc_id").agg(F.sort_array(F.collect_list("page")).alias("_pages"), F.transform(F.sort_array(F.collect_list(F.struct(F.col("page.index").alias("i"), "failed"))), lambda x: x["failed"]).alias("_failed"))
+    part = part.drop("content")
     rows = part.join(byd, "doc_id", "left")
     if capped is not None:
         rows = rows.join(capped, "doc_id", "left")
     else:
         rows = rows.withColumn("_all", F.lit(None).cast("long"))
     found = F.coalesce("_pages", F.array().cast(PAGES))
-    n = F.aggregate(found, F.lit(0), lambda a, p: a + nonws_length(p["text"]))
+    rows = bound(rows, _n=F.aggregate(found, F.lit(0), lambda a, p: a + nonws_length(p["text"])))
+    n = F.col("_n")
     no_pages = (F.col("kind") == "pdf") & F.col("_all").isNull()
     budget = F.when((F.lit(max_pages) > 0) & (F.col("_all") > max_pages), F.concat(F.lit(f"page_budget: capped OCR/VLM at {max_pages} of "), F.col("_all").cast("string"), F.lit(" pages")))
     short = F.when(n < floor, F.concat(F.lit(f"{reader.name}: "), n.cast("string"), F.lit(" non-ws chars across "), F.size(found).cast("string"), F.lit(" page(s), falling through")))
@@ -107,30 +119,33 @@ def _by_reader(part: DataFrame, tag: str, reader: Engine | None, images: DataFra
 
 
 def execute(routed: DataFrame, engines: Engines, images: DataFrame | None = None, floor: int = FLOOR, max_pages: int = MAX_PAGES, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
-    """``routed`` (doc_id, content, kind, pages, strategies) with engine, pages_out, text, source, meta and warnings.
+    """``routed`` (doc_id, content, kind, pages, strategies) without content, with engine, pages_out, text, source, meta and warnings.
 
-    ``images``: page images (doc_id, index, image) of the PDFs. engine is null where nothing yielded text.
-    Ranks run one after the other, each engine once on the documents that reach it; only sub-plans of
-    engines that some document wants at that rank are built.
+    ``images``: page images (doc_id, index, image) of the PDFs. doc_id is unique. engine is null where nothing
+    yielded text. Ranks run one after the other, each engine once on the documents that reach it; only sub-plans
+    of engines that some document wants at that rank are built. What is kept between ranks has no content:
+    a rank reads the content of its own documents again.
     """
-    columns = routed.columns
-    todo = routed.withColumn("warnings", F.array().cast("array<string>"))
+    columns = [c for c in routed.columns if c != "content"]
+    step = lambda rank: F.get("strategies", F.lit(rank))["engine"]
+    none = F.array().cast("array<string>")
+    todo = keep(routed.select(*columns, none.alias("warnings")))
     ended = []
     for rank in range(DEPTH):
-        step = F.get("strategies", F.lit(rank))["engine"]
-        ended.append(todo.where(step.isNull()).select(*columns, "warnings", F.lit(None).cast("string").alias("engine"), F.array().cast(PAGES).alias("pages_out")))
+        ended.append(todo.where(step(rank).isNull()).select(*columns, "warnings", F.lit(None).cast("string").alias("engine"), F.array().cast(PAGES).alias("pages_out")))
         # At most one value per engine of the routing table.
-        wanted = {r["e"] for r in todo.select(step.alias("e")).where("e is not null").distinct().collect()}
+        wanted = {r["e"] for r in todo.select(step(rank).alias("e")).where("e is not null").distinct().collect()}
         tried = None
         for tag in (t for t in SOURCE if t in wanted):
-            part = todo.where(step == tag)
+            # At first every document is there, so the source is filtered; later the few that are left are joined with it.
+            part = routed.withColumn("warnings", none).where(step(0) == tag) if rank == 0 else routed.select("doc_id", "content").join(_few(todo.where(step(rank) == tag)), "doc_id").select(*routed.columns, "warnings")
             made = _by_extractor(part, tag, engines.extractors.get(tag), floor) if tag in TEXT_ENGINES else _by_reader(part, tag, engines.readers.get(tag), images, floor, max_pages)
-            made = made.withColumn("engine", F.lit(tag))
+            made = made.select(*columns, F.concat("warnings", "notes").alias("warnings"), F.lit(tag).alias("engine"), "pages_out", "chars")
             tried = made if tried is None else tried.unionByName(made)
         if tried is None:
             todo = todo.limit(0)
             break
-        tried = keep(tried.withColumn("warnings", F.concat("warnings", "notes")).drop("notes"))
+        tried = keep(tried)
         ended.append(tried.where(F.col("chars") >= floor).select(*columns, "warnings", "engine", "pages_out"))
         todo = tried.where(F.col("chars") < floor).select(*columns, "warnings")
     ended.append(todo.select(*columns, "warnings", F.lit(None).cast("string").alias("engine"), F.array().cast(PAGES).alias("pages_out")))
@@ -142,18 +157,21 @@ def execute(routed: DataFrame, engines: Engines, images: DataFrame | None = None
 
 def execute_text(routed: DataFrame, engines: Engines, floor: int = FLOOR) -> DataFrame:
     """The same where every strategy is a text engine whose extractor is an expression: one projection, nothing is kept or shuffled."""
-    tag = F.get("strategies", F.lit(0))["engine"]
+    tag = F.expr("strategies[0].engine")
     got = F
     for name, extract in engines.extractors.items():
         got = got.when(tag == name, extract(F.col("content"))["text"])
-    text = F.coalesce(got.otherwise(F.lit(None).cast("string")), F.lit(""))
-    n = nonws_length(text)
-    ok = n >= floor
-    page = F.array(F.struct(F.lit(0).alias("index"), trim(text).alias("text"), F.lit("native").alias("source"))).cast(PAGES)
-    short = F.concat(tag, F.lit(": only "), n.cast("string"), F.lit(" non-ws chars, falling through"))
-    missing = F.concat(tag, F.when(tag.isin(*TEXT_ENGINES), ": no extractor wired, skipping").otherwise(": engine not wired, skipping"))
-    notes = F.when(ok, F.array().cast("array<string>")).when(tag.isin(*engines.extractors), F.array(short)).otherwise(F.array(missing))
-    return documents(routed.select("*", F.when(ok, tag).alias("engine"), F.when(ok, page).otherwise(F.array().cast(PAGES)).alias("pages_out"), notes.alias("warnings")))
+    rows = bound(routed, _text=F.coalesce(got.otherwise(F.lit(None).cast("string")), F.lit(""))).drop("content")
+    rows = bound(rows, _n=nonws_length(F.col("_text")), _trimmed=trim(F.col("_text"))).drop("_text").withColumn("_ok", F.col("_n") >= floor)
+    wired = ", ".join(f"'{name}'" for name in engines.extractors) or "null"
+    texts = ", ".join(f"'{name}'" for name in TEXT_ENGINES)
+    e = "strategies[0].engine"
+    note = f"concat({e}, CASE WHEN {e} IN ({wired}) THEN concat(': only ', cast(_n AS string), ' non-ws chars, falling through') WHEN {e} IN ({texts}) THEN ': no extractor wired, skipping' ELSE ': engine not wired, skipping' END)"
+    return documents(rows.select(
+        *[c for c in routed.columns if c != "content"], F.expr(f"if(_ok, {e}, cast(null AS string))").alias("engine"),
+        F.expr("if(_ok, array(named_struct('index', 0, 'text', _trimmed, 'source', 'native')), array())").cast(PAGES).alias("pages_out"),
+        F.expr(f"if(_ok, cast(array() AS array<string>), array({note}))").alias("warnings"),
+    ))
 
 
 @dataclass(frozen=True)

@@ -46,10 +46,11 @@ def profile(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     has 0 pages, an undecided scan, an unknown script, and a note.
     """
     mime = F.col("mime") if "mime" in docs.columns else None
-    out = docs.withColumn("_sniffed", S.sniff(F.col("content"), F.col("filename"), mime)).select("*", F.col("_sniffed.kind").alias("kind"), F.col("_sniffed.warnings").alias("sniff_warnings")).drop("_sniffed")
+    out = T.bound(docs, _sniffed=S.sniff(F.col("content"), F.col("filename"), mime))
     pdf, texty = F.col("kind") == "pdf", F.col("kind").isin("text", "csv")
-    own = F.when(texty, T.detect_script(T.utf8_sample(F.col("content")))).otherwise("unknown")
-    out = out.withColumn("bytes", F.octet_length("content"))
+    sample = F.when(F.col("_sniffed.kind").isin("text", "csv"), T.utf8_sample(F.col("content")))
+    out = T.bound(out.select(*docs.columns, F.col("_sniffed.kind").alias("kind"), F.col("_sniffed.warnings").alias("sniff_warnings"), F.octet_length("content").alias("bytes"), sample.alias("_sample")), _tally=T.script_tally(F.col("_sample"))).drop("_sample")
+    own = F.when(texty, T.dominant_script(F.col("_tally"))).otherwise("unknown")
     if pages is None:
         out = out.select("*", F.lit(None).cast("int").alias("_pages"), F.lit(None).cast("boolean").alias("_scanned"), F.lit(None).cast("string").alias("_script"))
     else:
@@ -58,4 +59,4 @@ def profile(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return out.select(
         "*", F.when(pdf, F.coalesce("_pages", F.lit(0))).otherwise(1).alias("pages"), F.when(pdf, F.col("_scanned")).alias("scanned"),
         F.when(pdf, F.coalesce("_script", F.lit("unknown"))).otherwise(own).alias("script"), F.when(pdf & F.col("_pages").isNull(), "pdfjs_unavailable").alias("note"),
-    ).drop("_pages", "_scanned", "_script")
+    ).drop("_pages", "_scanned", "_script", "_tally")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ class ModelFetchError(Exception):
 
 
 def latest(models: DataFrame) -> DataFrame:
-    """The last stored row of each id and version."""
-    last = Window.partitionBy("id", "version").orderBy(F.desc("stored_at"))
+    """The last stored row of each id and version; of rows stored at the same time the greatest blob."""
+    last = Window.partitionBy("id", "version").orderBy(F.desc("stored_at"), F.desc("blob"))
     return models.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
@@ -67,20 +68,24 @@ class Origin:
 
 
 def throttled(events: DataFrame, key: str, gap_ms: int = 250) -> DataFrame:
-    """The progress events a client sees, of rows (key, ms, seq, stage, page_index, total_pages).
+    """The progress events a client sees, as rows (key, seq), of rows (key, ms, seq, stage, page_index, total_pages).
 
     An event passes on a new stage, on the last page, or ``gap_ms`` after the last that passed; that last
-    time is state, so each job's events are folded in order.
+    time is state, so each job's events are streamed in order through one task, which holds no more than a batch.
     """
-    e = F.sort_array(F.collect_list(F.struct("ms", "seq", "stage", "page_index", "total_pages")))
-    none = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("stage"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        passes = a["at"].isNull() | (x["stage"] != a["stage"]) | ((x["total_pages"] > 0) & (x["page_index"] >= x["total_pages"] - 1)) | (x["ms"] - a["at"] >= gap_ms)
-        return F.struct(F.when(passes, x["ms"]).otherwise(a["at"]).alias("at"), F.when(passes, x["stage"]).otherwise(a["stage"]).alias("stage"), F.when(passes, F.array_append(a["out"], x["seq"])).otherwise(a["out"]).alias("out"))
-
-    jobs = events.groupBy(key).agg(e.alias("e"))
-    return jobs.select(key, F.explode(F.aggregate("e", none, step, lambda a: a["out"])).alias("seq"))
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, at, stage = object(), 0, None
+        for batch in batches:
+            out = []
+            for row, (k, ms, kind, page, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "ms", "stage", "page_index", "total_pages")), strict=True)):
+                if k != job or kind != stage or total > 0 and page >= total - 1 or ms - at >= gap_ms:
+                    job, at, stage = k, ms, kind
+                    out.append(row)
+            yield batch.select([key, "seq"]).take(pa.array(out, pa.int64()))
+
+    rows = events.select(key, "ms", "seq", "stage", "page_index", "total_pages").repartition(key).sortWithinPartitions(key, "ms", "seq")
+    return rows.mapInArrow(passing, events.select(key, "seq").schema)
 
 
 def job_status(events: DataFrame, key: str, timeout_ms: int | None = None, now_ms: Column | None = None) -> DataFrame:

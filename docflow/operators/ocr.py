@@ -121,6 +121,16 @@ def db_postprocess(params: DBParams = DBParams()):
     return boxes
 
 
+def unclip_distances(ratio: float = 1.5):
+    """A vectorised function of quads (flat x, y pairs): how far their sides move outwards."""
+
+    @pandas_udf("double")
+    def distances(quads: pd.Series) -> pd.Series:
+        return quads.map(lambda q: G.unclip_distance(np.asarray(q, float).reshape(-1, 2), ratio))
+
+    return distances
+
+
 def component_labels(threshold: float):
     """A vectorised function (map, height, width) to an array of component labels."""
 
@@ -204,11 +214,12 @@ def gated_text(text: Column, conf: Column, floor: float = DOC_CONFIDENCE) -> Col
 
 
 def reading_order(boxes: DataFrame, key: str = "page_id", gap: int = LINE_GAP) -> DataFrame:
-    """``boxes`` (key, ord, top, left) with line and position. A line ends where the top is more than ``gap`` below the box before."""
-    down = Window.partitionBy(key).orderBy("top", "left", "ord")
+    """``boxes`` (key, ord, top, left[, text]) with line and position. A line ends where the top is more than ``gap`` below the box before; ties go by text."""
+    last = ["text"] if "text" in boxes.columns else []
+    down = Window.partitionBy(key).orderBy("top", "left", "ord", *last)
     starts = (F.col("top") - F.lag("top").over(down) > gap).cast("int")
     lined = boxes.withColumn("_new", F.coalesce(starts, F.lit(0))).withColumn("line", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
-    return lined.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("line", "left", "ord")))
+    return lined.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("line", "left", "ord", *last)))
 
 
 def page_text(boxes: DataFrame, key: str = "page_id", box_floor: float = BOX_CONFIDENCE, doc_floor: float = DOC_CONFIDENCE) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 STRATEGY = "array<struct<engine string, location string, script string, reason string>>"
 
 
@@ -33,38 +35,36 @@ def capabilities(overrides: dict | None = None, detected: Capabilities | None =
     return Capabilities(**{k: v if (v := (overrides or {}).get(k)) is not None else getattr(base, k) for k in Capabilities.__dataclass_fields__})
 
 
-def _step(engine: str, location: Column, reason: str, script: Column | None = None) -> Column:
-    return F.struct(F.lit(engine).alias("engine"), location.alias("location"), (F.lit(None).cast("string") if script is None else script).alias("script"), F.lit(reason).alias("reason"))
-
-
-def route(kind: Column, pages: Column, scanned: Column, script: Column, runtime: Column, has_webgpu: Column, available_scripts: Column, options: RouteOptions = RouteOptions(), vlm: Column | None = None) -> Column:
-    """array<struct<engine, location, script, reason>>. A PDF of 0 pages is planned as if on a server."""
-    vlm = F.lit(options.vlm) if vlm is None else vlm
-    edge, browser = F.lit("edge"), F.lit("browser")
-    local = runtime == "browser"
-    here = F.when(local, browser).otherwise(edge)
-    opened = local & ~((kind == "pdf") & (pages == 0))
-    cap = F.when(has_webgpu, options.webgpu_pages).otherwise(options.wasm_pages)
-    readable = script.isin("latin", "unknown") | F.array_contains(available_scripts, script)
-    ocr_here = F.when(opened & (pages <= cap) & readable, browser).otherwise(edge)
-    docling_here = F.when(opened & has_webgpu & (pages <= options.webgpu_pages), browser).otherwise(edge)
-    digital_here = F.when(local & (pages <= options.digital_pages), browser).otherwise(edge)
-    chain = F.array(
-        _step("rapidocr", ocr_here, "primary OCR", F.when(script == "unknown", "latin").otherwise(script)),
-        _step("granite-docling", docling_here, "structure-aware fallback (RapidOCR under-yielded)"),
-    )
-    chain = F.when(vlm, F.concat(chain, F.array(_step("vlm", edge, "hosted VLM last resort")))).otherwise(chain)
-    office = {"docx": ("mammoth", "office document"), "xlsx": ("xlsx", "spreadsheet/csv via sheetjs"), "csv": ("xlsx", "spreadsheet/csv via sheetjs"), "text": ("text", "plain text")}
-    out = F
-    for name, (engine, reason) in office.items():
-        out = out.when(kind == name, F.array(_step(engine, here, reason)))
-    pdf = kind == "pdf"
-    out = out.when(kind == "image", chain)
-    out = out.when(pdf & (scanned == F.lit(False)), F.array(_step("pdfjs-text", digital_here, "digital PDF text layer")))
-    out = out.when(pdf & scanned.isNull() & (pages > 0), F.concat(F.array(_step("pdfjs-text", digital_here, "ambiguous scan; try native text first")), chain))
-    out = out.when(pdf, chain)
-    unknown = F.when(vlm, F.array(_step("vlm", edge, "unknown kind; VLM best-effort"))).otherwise(F.array(_step("text", here, "unknown kind; best-effort text read")))
-    return out.otherwise(unknown).cast(STRATEGY)
+def _step(engine: str, location: str, reason: str, script: str = "cast(null AS string)") -> str:
+    return f"named_struct('engine', '{engine}', 'location', {location}, 'script', {script}, 'reason', '{reason}')"
+
+
+def route(kind: str = "kind", pages: str = "pages", scanned: str = "scanned", script: str = "script", runtime: str = "runtime", has_webgpu: str = "has_webgpu", available_scripts: str = "available_scripts", options: RouteOptions = RouteOptions(), vlm: str | None = None) -> Column:
+    """array<struct<engine, location, script, reason>> over SQL expressions of a profile. A PDF of 0 pages is planned as if on a server."""
+    vlm = str(options.vlm).lower() if vlm is None else vlm
+    local = f"({runtime} = 'browser')"
+    here = f"if({local}, 'browser', 'edge')"
+    opened = f"({local} AND NOT ({kind} = 'pdf' AND {pages} = 0))"
+    readable = f"({script} IN ('latin', 'unknown') OR array_contains({available_scripts}, {script}))"
+    ocr_here = f"if({opened} AND {pages} <= if({has_webgpu}, {options.webgpu_pages}, {options.wasm_pages}) AND {readable}, 'browser', 'edge')"
+    docling_here = f"if({opened} AND {has_webgpu} AND {pages} <= {options.webgpu_pages}, 'browser', 'edge')"
+    digital_here = f"if({local} AND {pages} <= {options.digital_pages}, 'browser', 'edge')"
+    first = _step("rapidocr", ocr_here, "OCR of page images", f"if({script} = 'unknown', 'latin', {script})")
+    second = _step("granite-docling", docling_here, "layout-aware reading where OCR found too little")
+    last = _step("vlm", "'edge'", "vision model where all else found too little")
+    chain = f"if({vlm}, array({first}, {second}, {last}), array({first}, {second}))"
+    native = lambda reason: _step("pdfjs-text", digital_here, reason)
+    plan = f"""CASE
+     WHEN {kind} = 'docx' THEN array({_step("mammoth", here, "paragraphs of a Word container")})
+     WHEN {kind} IN ('xlsx', 'csv') THEN array({_step("xlsx", here, "cells of a table as CSV")})
+     WHEN {kind} = 'text' THEN array({_step("text", here, "text as it is")})
+     WHEN {kind} = 'image' THEN {chain}
+     WHEN {kind} = 'pdf' AND NOT {scanned} THEN array({native("the pages have a text layer")})
+     WHEN {kind} = 'pdf' AND {scanned} IS NULL AND {pages} > 0 THEN concat(array({native("the text layer may do")}), {chain})
+     WHEN {kind} = 'pdf' THEN {chain}
+     WHEN {vlm} THEN array({_step("vlm", "'edge'", "unknown kind, as an image")})
+     ELSE array({_step("text", here, "unknown kind, as text")}) END"""
+    return F.expr(plan).cast(STRATEGY)
 
 
 def summary(kind: Column, pages: Column, script: Column, strategies: Column) -> Column:
@@ -77,8 +77,8 @@ def summary(kind: Column, pages: Column, script: Column, strategies: Column) ->
 def with_route(profiles: DataFrame, caps: Capabilities = Capabilities(), options: RouteOptions = RouteOptions()) -> DataFrame:
     """``profiles`` (kind, pages, scanned, script) with strategies and reason. Capabilities and options are literals, so dead branches fold away."""
     c = F.col
-    scripts = F.array(*[F.lit(s) for s in caps.available_scripts]).cast("array<string>")
-    planned = profiles.withColumn("strategies", route(c("kind"), c("pages"), c("scanned"), c("script"), F.lit(caps.runtime), F.lit(caps.has_webgpu), scripts, options))
+    scripts = "cast(array({}) AS array<string>)".format(", ".join(f"'{s}'" for s in caps.available_scripts))
+    planned = bound(profiles, strategies=route(runtime=f"'{caps.runtime}'", has_webgpu=str(caps.has_webgpu).lower(), available_scripts=scripts, options=options))
     return planned.withColumn("reason", summary(c("kind"), c("pages"), c("script"), c("strategies")))
 
 

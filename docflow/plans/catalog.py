@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +19,12 @@ from ..functions import text as T
 from ..operators import assemble as A
 from ..operators import cascade as X
 from ..operators import classify as C
+from ..operators import engines as E
 from ..operators import models as M
 from ..operators import ocr as O
 from ..operators import route as R
-from ..sources import files
+from ..operators import runner as U
+from ..sources import files, pdf
 from ..streaming import ingest
 from . import api
 
@@ -151,13 +157,15 @@ _EXT_KIND = f"""CASE WHEN ext IN ('pdf', 'docx', 'xlsx', 'csv') THEN ext WHEN ex
 SNIFF_SQL = f"""SELECT hex, name, mime, CASE WHEN length(hex) < 8 THEN {_EXT_KIND} WHEN hex LIKE '25504446%' THEN 'pdf' WHEN regexp_matches(hex, '^(89504E47|FFD8FF|47494638|424D)') THEN 'image'
  WHEN hex LIKE '52494646%' AND contains(substr(hex, 1, 24), '57454250') THEN 'image' WHEN hex LIKE 'D0CF11E0A1B11AE1%' THEN 'other'
  WHEN regexp_matches(hex, '^504B0(304|506|708)') THEN CASE WHEN contains(hex, '{b"word/document.xml".hex().upper()}') THEN 'docx' WHEN contains(hex, '{b"xl/workbook.xml".hex().upper()}') THEN 'xlsx' WHEN ext = 'xlsx' THEN 'xlsx' ELSE 'docx' END
- ELSE {_EXT_KIND} END AS kind FROM (SELECT *, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '[^.]*$')) ELSE '' END AS ext FROM ({SNIFF_CASES}) t(hex, name, mime))"""
+ ELSE {_EXT_KIND} END AS kind, CASE WHEN length(hex) >= 8 AND hex LIKE 'D0CF11E0A1B11AE1%' THEN 'legacy_office_not_supported' WHEN length(hex) >= 8 AND regexp_matches(hex, '^504B0(304|506|708)') THEN CASE WHEN contains(hex, '{b"word/document.xml".hex().upper()}') OR contains(hex, '{b"xl/workbook.xml".hex().upper()}') OR ext IN ('xlsx', 'docx') THEN '' ELSE 'ooxml_kind_ambiguous' END
+ WHEN length(hex) >= 8 AND (hex LIKE '25504446%' OR regexp_matches(hex, '^(89504E47|FFD8FF|47494638|424D)') OR hex LIKE '52494646%' AND contains(substr(hex, 1, 24), '57454250')) THEN '' WHEN ext IN {S.LEGACY_EXTENSIONS} THEN 'legacy_office_not_supported' WHEN {_EXT_KIND} = 'other' THEN 'kind_unknown' ELSE '' END AS warning FROM (SELECT *, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '[^.]*$')) ELSE '' END AS ext FROM ({SNIFF_CASES}) t(hex, name, mime))"""
 
 
 @query(SNIFF_SQL)
 def sniff_cases(spark, d):
     rows = spark.sql(f"SELECT * FROM ({SNIFF_CASES}) t(hex, name, mime)")
-    return rows.select("hex", "name", "mime", S.sniff(F.unhex("hex"), F.col("name"), F.col("mime"))["kind"].alias("kind"))
+    found = rows.select("hex", "name", "mime", S.sniff(F.unhex("hex"), F.col("name"), F.col("mime")).alias("s"))
+    return found.select("hex", "name", "mime", "s.kind", F.coalesce(F.substring_index(F.get("s.warnings", F.lit(0)), ":", 1), F.lit("")).alias("warning"))
 
 
 @query(f"""SELECT page_id, kind, CASE WHEN kind = 'other' AND ext NOT IN {S.LEGACY_EXTENSIONS} THEN 'kind_unknown' WHEN kind = 'other' THEN 'legacy_office_not_supported' ELSE '' END AS warning FROM
@@ -216,9 +224,7 @@ _ROUTED = f"SELECT *, {_ROUTE} AS plan FROM (SELECT *, CASE WHEN runtime = 'brow
 
 
 def _routes(spark):
-    c = F.col
-    scripts = F.array(F.lit("latin"), F.lit("arabic"))
-    return spark.sql(_KINDS).withColumn("strategies", R.route(c("kind"), c("pages"), c("scanned"), c("script"), c("runtime"), c("gpu"), scripts, vlm=c("vlm")))
+    return spark.sql(_KINDS).withColumn("strategies", R.route(has_webgpu="gpu", available_scripts="array('latin', 'arabic')", vlm="vlm"))
 
 
 @query(f"SELECT kind, pages, scanned, script, runtime, gpu, vlm, plan FROM ({_ROUTED})")
@@ -251,7 +257,7 @@ def _simulated(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.unhex(F.lit("25504446")), F.col("doc_id").cast("string").cast("binary")).alias("content"), F.lit("a.pdf").alias("filename"), "text")
     images = files.split_pages(docs.drop("content")).select("doc_id", "index", F.concat_ws("|", F.col("doc_id").cast("string"), "text").alias("image"))
     number = lambda image: F.substring_index(image, "|", 1).cast("long")
-    words = lambda image: F.substring(image, F.instr(image, "|") + 1, 40)
+    words = lambda image: F.substr(image, F.instr(image, "|") + 1)
 
     def reader(k: int, fails: int = 0):
         return lambda image: F.struct(F.when(number(image) % k == 0, words(image)).otherwise("").alias("text"), (F.when(number(image) % fails == 0, "no session") if fails else F.lit(None).cast("string")).alias("error"))
@@ -263,7 +269,7 @@ def _simulated(spark, d):
 
 
 _SIM = f"""p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS idx FROM documents),
-c AS (SELECT doc_id, count(*) AS pages, least(count(*), 3) AS k, sum(CASE WHEN idx < 3 THEN {NONWS("substr(text, 1, 40)")} ELSE 0 END) AS n FROM p GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS pages, least(count(*), 3) AS k, sum(CASE WHEN idx < 3 THEN {NONWS("text")} ELSE 0 END) AS n FROM p GROUP BY doc_id),
 e AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN n ELSE 0 END AS n1, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 > 0 THEN n ELSE 0 END AS n2, CASE WHEN doc_id % 2 = 0 THEN n ELSE 0 END AS n3 FROM c)"""
 
 
@@ -332,9 +338,9 @@ def confidence_gate(spark, d):
 
 
 @query("""WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS ord, l_partkey % 40 AS top, l_suppkey % 90 AS lft, l_returnflag || l_linenumber AS t FROM lineitem),
- g AS (SELECT *, coalesce(top - lag(top) OVER (PARTITION BY page_id ORDER BY top, lft, ord) > 5, false)::INT AS fresh FROM b),
- l AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY top, lft, ord ROWS UNBOUNDED PRECEDING) AS line FROM g)
- SELECT page_id, string_agg(t, ' ' ORDER BY line, lft, ord) AS text FROM l GROUP BY page_id""")
+ g AS (SELECT *, coalesce(top - lag(top) OVER (PARTITION BY page_id ORDER BY top, lft, ord, t) > 5, false)::INT AS fresh FROM b),
+ l AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY top, lft, ord, t ROWS UNBOUNDED PRECEDING) AS line FROM g)
+ SELECT page_id, string_agg(t, ' ' ORDER BY line, lft, ord, t) AS text FROM l GROUP BY page_id""")
 def reading_order(spark, d):
     return O.reading_order(_boxes(spark, d)).groupBy("page_id").agg(F.expr("listagg(text, ' ') within group (order by position)").alias("text"))
 
@@ -374,10 +380,10 @@ def rec_width(spark, d):
     return table(spark, d, "lineitem").select((F.col("l_partkey") % 1900 + 1).cast("double").alias("w"), (F.col("l_suppkey") % 60 + 1).cast("double").alias("h")).distinct().select("w", "h", O.rec_width(F.col("w"), F.col("h")).alias("rec"))
 
 
-@query("SELECT vec_id, l AS lft, t AS top, greatest(a, c) - l AS w, greatest(b, e) - t AS h FROM (SELECT *, least(a, c) AS l, least(b, e) AS t FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS e FROM embeddings))")
+@query("SELECT vec_id, min(v) FILTER (i % 2 = 0) AS lft, min(v) FILTER (i % 2 = 1) AS top, max(v) FILTER (i % 2 = 0) - min(v) FILTER (i % 2 = 0) AS w, max(v) FILTER (i % 2 = 1) - min(v) FILTER (i % 2 = 1) AS h FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY vec_id")
 def box_bounds(spark, d):
-    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    return table(spark, d, "embeddings").select("vec_id", O.bounds(F.array(F.array(v(0), v(1)), F.array(v(2), v(3)))).alias("b")).select("vec_id", F.col("b.left").alias("lft"), "b.top", F.col("b.width").alias("w"), F.col("b.height").alias("h"))
+    points = F.expr("transform(sequence(0, size(embedding) div 2 - 1), i -> array(cast(embedding[2 * i] AS double), cast(embedding[2 * i + 1] AS double)))")
+    return table(spark, d, "embeddings").select("vec_id", O.bounds(points).alias("b")).select("vec_id", F.col("b.left").alias("lft"), "b.top", F.col("b.width").alias("w"), F.col("b.height").alias("h"))
 
 
 @query("SELECT vec_id, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean, 100.0::DOUBLE * count(*) FILTER (v > 0.3) / count(*) AS over30, 100.0::DOUBLE * count(*) FILTER (v > 0.5) / count(*) AS over50 FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY vec_id")
@@ -403,17 +409,13 @@ def components(spark, d):
     return rows.select("vec_id", F.size(F.array_distinct(inside)).alias("n_components"), F.size(inside).alias("n_pixels")).where("n_pixels > 0")
 
 
-_QUADS = "VALUES (1, 0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0), (2, 0.0, 0.0, 2.0, 0.0, 2.0, 1.0, 0.0, 1.0), (3, 0.0, 0.0, 3.0, 0.0, 3.0, 2.0, 0.0, 2.0), (4, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (5, 1.0, 0.0, 6.0, 2.0, 5.0, 5.0, 0.0, 3.0)"
-_QUAD_COLUMNS = "id, ax, ay, bx, by_, cx, cy, dx, dy"
+_QUAD_COLUMNS = ", ".join(f"embedding[{k}]::DOUBLE AS {c}" for k, c in enumerate(("ax", "ay", "bx", "by_", "cx", "cy", "dx", "dy"), 1))
 
 
-@query(f"SELECT id, round(CASE WHEN p > 0 THEN abs(ax * by_ - bx * ay + bx * cy - cx * by_ + cx * dy - dx * cy + dx * ay - ax * dy) / 2 * 1.5 / p ELSE 0 END, 9) AS distance FROM (SELECT *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) + sqrt((cx - bx) ** 2 + (cy - by_) ** 2) + sqrt((dx - cx) ** 2 + (dy - cy) ** 2) + sqrt((ax - dx) ** 2 + (ay - dy) ** 2) AS p FROM (SELECT id, ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, by_::DOUBLE AS by_, cx::DOUBLE AS cx, cy::DOUBLE AS cy, dx::DOUBLE AS dx, dy::DOUBLE AS dy FROM ({_QUADS}) t({_QUAD_COLUMNS})))")
+@query(f"SELECT id, round(CASE WHEN p > 0 THEN abs(ax * by_ - bx * ay + bx * cy - cx * by_ + cx * dy - dx * cy + dx * ay - ax * dy) / 2 * 1.5 / p ELSE 0 END, 9) AS distance FROM (SELECT *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) + sqrt((cx - bx) ** 2 + (cy - by_) ** 2) + sqrt((dx - cx) ** 2 + (dy - cy) ** 2) + sqrt((ax - dx) ** 2 + (ay - dy) ** 2) AS p FROM (SELECT vec_id AS id, {_QUAD_COLUMNS} FROM embeddings))")
 def unclip_distance(spark, d):
-    rows = spark.sql(f"SELECT * FROM ({_QUADS}) t({_QUAD_COLUMNS})")
-    x, y = [F.col(c).cast("double") for c in ("ax", "bx", "cx", "dx")], [F.col(c).cast("double") for c in ("ay", "by_", "cy", "dy")]
-    area = F.abs(sum(x[i] * y[(i + 1) % 4] - x[(i + 1) % 4] * y[i] for i in range(4))) / 2
-    around = sum(F.hypot(x[(i + 1) % 4] - x[i], y[(i + 1) % 4] - y[i]) for i in range(4))
-    return rows.select("id", F.round(F.when(around > 0, area * 1.5 / F.nullif(around, F.lit(0.0))).otherwise(0.0), 9).alias("distance"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.expr("transform(slice(embedding, 1, 8), v -> cast(v AS double))").alias("quad"))
+    return rows.select(F.col("vec_id").alias("id"), F.round(O.unclip_distances(1.5)("quad"), 9).alias("distance"))
 
 
 @query()
@@ -429,11 +431,14 @@ def grayscale(spark, d):
     return table(spark, d, "lineitem").select(c("l_orderkey").alias("page_id"), c("l_linenumber").alias("ord"), O.luminance(c("l_partkey") % 256, c("l_suppkey") % 256, (c("l_quantity") * 5).cast("long")).alias("grey"))
 
 
-@query("SELECT page_id, ord, CASE WHEN hi > lo THEN floor((v - lo) * 255.0::DOUBLE / (hi - lo) + 0.5) ELSE v END::INT AS v FROM (SELECT l_orderkey AS page_id, l_linenumber AS ord, l_partkey % 256 AS v, min(l_partkey % 256) OVER w AS lo, max(l_partkey % 256) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_orderkey))")
+@query("""WITH p AS (SELECT l_orderkey AS page_id, l_linenumber AS ord, l_partkey % 256 AS r, l_suppkey % 256 AS g, (l_quantity * 5)::BIGINT AS b FROM lineitem),
+ g AS (SELECT *, trunc(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS y FROM p), w AS (SELECT *, min(y) OVER (PARTITION BY page_id) AS lo, max(y) OVER (PARTITION BY page_id) AS hi FROM g)
+ SELECT page_id, ord, """ + ", ".join(f"CASE WHEN hi > lo THEN greatest(0, least(255, floor(({c} - lo) * 255.0::DOUBLE / (hi - lo) + 0.5))) ELSE {c} END::INT AS {c}" for c in "rgb") + " FROM w")
 def normalize(spark, d):
-    w = Window.partitionBy("page_id")
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord"), (F.col("l_partkey") % 256).alias("p"))
-    return rows.select("page_id", "ord", O.stretched(F.col("p"), F.min("p").over(w), F.max("p").over(w)).alias("v"))
+    c, w = F.col, Window.partitionBy("page_id")
+    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("page_id"), c("l_linenumber").alias("ord"), (c("l_partkey") % 256).alias("r"), (c("l_suppkey") % 256).alias("g"), (c("l_quantity") * 5).cast("long").alias("b"))
+    rows = rows.withColumn("y", O.luminance(c("r"), c("g"), c("b"))).withColumn("lo", F.min("y").over(w)).withColumn("hi", F.max("y").over(w))
+    return rows.select("page_id", "ord", *[O.stretched(c(k), c("lo"), c("hi")).alias(k) for k in "rgb"])
 
 
 @query("SELECT DISTINCT w, h, ceil(w * s)::INT AS rw, ceil(h * s)::INT AS rh FROM (SELECT *, least(1.0::DOUBLE, 1600 / greatest(w, h)) AS s FROM (SELECT (l_partkey % 1900 + 900)::DOUBLE AS w, (l_suppkey % 90 + 1)::DOUBLE AS h FROM lineitem))")
@@ -493,9 +498,15 @@ def job_status(spark, d):
     return M.job_status(events, "user_id").select("user_id", "last_type", "status", "n_events")
 
 
-@query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda r: regexp_replace(r, '" + WS + "|,', '', 'g') <> ''), chr(10))) AS digest FROM documents")
+_ROWS = rf"""list_filter(regexp_extract_all(text, '(?:[^"\r\n]|"[^"]*(?:"|\z))+'), lambda r: regexp_replace(r, '{WS}|,', '', 'g') <> '')"""
+_QUOTED = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'a,\"' || text || '\"' || chr(13) || chr(10) || ' ,' || chr(10) || text ELSE replace(text, ' ', '\"') END AS text FROM documents"
+
+
+@query(f"SELECT doc_id, md5(array_to_string({_ROWS}, chr(10))) AS digest FROM ({_QUOTED})")
 def csv_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(files.csv_text(F.encode("text", "UTF-8")).cast("binary")).alias("digest"))
+    docs = table(spark, d, "documents")
+    quoted = F.expr("""CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('a,"', text, '"', chr(13), chr(10), ' ,', chr(10), text) ELSE replace(text, ' ', '"') END""")
+    return docs.select("doc_id", F.md5(files.csv_text(F.encode(quoted, "UTF-8")).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -525,26 +536,173 @@ def xlsx_blob(sheets: dict[str, list[list[str]]]) -> bytes:
     return zipped(parts)
 
 
-@query()
+def _container(make):
+    @F.pandas_udf("binary")
+    def build(texts):
+        return texts.map(make)
+
+    return build
+
+
+def _word(text: str) -> bytes:
+    return docx_blob(*[escape(line) for line in text.split("\n")])
+
+
+def _book(text: str) -> bytes:
+    rows = [[escape(cell) for cell in line.split(" ")] for line in text.split("\n")]
+    return xlsx_blob({"Words": rows, "Lines": [[escape(line)] for line in text.split("\n")]})
+
+
+@query("SELECT doc_id, md5(array_to_string(string_split(text, chr(10)), chr(10) || chr(10)) || chr(10) || chr(10)) AS digest, false AS failed FROM documents UNION ALL SELECT -1, NULL, true")
 def docx_extract(spark, d):
-    rows = spark.createDataFrame([(1, bytearray(docx_blob("Hello", "world"))), (2, bytearray(docx_blob())), (3, bytearray(b"PK\x03\x04broken"))], "id int, content binary")
-    return rows.select("id", files.extract_docx(F.col("content")).alias("r")).select("id", "r.text", F.col("r.error").isNotNull().alias("failed"))
+    rows = table(spark, d, "documents").select("doc_id", _container(_word)("text").alias("content")).union(spark.sql("SELECT -1L, cast('PK broken' AS binary)"))
+    return rows.select("doc_id", files.extract_docx(F.col("content")).alias("r")).select("doc_id", F.md5(F.col("r.text").cast("binary")).alias("digest"), F.col("r.error").isNotNull().alias("failed"))
 
 
-@query()
+_CELL = """CASE WHEN regexp_matches(c, '[,"]') THEN '"' || replace(c, '"', '""') || '"' ELSE c END"""
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: replace(x, ' ', '') <> '')"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace('# Words' || chr(10) || array_to_string(list_transform({_LINES}, lambda x: array_to_string(list_transform(string_split(x, ' '), lambda c: {_CELL}), ',')), chr(10))
+ || chr(10) || '# Lines' || chr(10) || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda c: {_CELL}), chr(10)), '^\\s+|\\s+$', '', 'g')) AS digest, false AS failed FROM documents UNION ALL SELECT -1, NULL, true""")
 def xlsx_extract(spark, d):
-    one, two = {"Sheet1": [["Name", "City"], ["Ann", "Oslo, N"], ["", ""]]}, {"Sheet1": [["a"]], "Sheet2": [["b", "c"]]}
-    rows = spark.createDataFrame([(1, bytearray(xlsx_blob(one))), (2, bytearray(xlsx_blob(two)))], "id int, content binary")
-    return rows.select("id", files.extract_xlsx(F.col("content")).alias("r")).select("id", "r.text", F.col("r.error").isNotNull().alias("failed"))
+    rows = table(spark, d, "documents").select("doc_id", _container(_book)("text").alias("content")).union(spark.sql("SELECT -1L, cast('PK broken' AS binary)"))
+    return rows.select("doc_id", files.extract_xlsx(F.col("content")).alias("r")).select("doc_id", F.md5(F.col("r.text").cast("binary")).alias("digest"), F.col("r.error").isNotNull().alias("failed"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(10), ''), '{WS}+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents")
+def page_text(spark, d):
+    """The lines of a document as the items of a page's text layer."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.page_text(F.split("text", "\n")).cast("binary")).alias("digest"))
+
+
+@query("SELECT runtime, o AS override, CASE WHEN o = 'none' THEN runtime = 'browser' ELSE o = 'true' END AS has_webgpu FROM (VALUES ('browser'), ('node')) r(runtime), (VALUES ('none'), ('true'), ('false')) x(o)")
+def capability_overrides(spark, d):
+    rows = [(r, o, R.capabilities({"has_webgpu": {"none": None, "true": True, "false": False}[o]}, R.Capabilities(r, r == "browser")).has_webgpu) for r in ("browser", "node") for o in ("none", "true", "false")]
+    return spark.createDataFrame(rows, "runtime string, override string, has_webgpu boolean")
+
+
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type IN ('purchase', 'refund')) > 0 THEN arg_min(CASE event_type WHEN 'purchase' THEN 'result' ELSE 'error' END, struct_pack(t := ts, e := event_id)) FILTER (event_type IN ('purchase', 'refund'))
+ WHEN epoch_us((SELECT max(ts) FROM events)) - epoch_us(min(ts)) >= 86400000000 THEN 'timeout' ELSE 'pending' END AS status FROM events WHERE event_type <> 'purchase' OR user_id % 2 = 0 GROUP BY user_id""")
+def job_timeouts(spark, d):
+    events = table(spark, d, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    last = events.agg(F.max(micros)).first()[0]
+    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "refund", "error").otherwise("progress")
+    jobs = events.where("event_type <> 'purchase' or user_id % 2 = 0").select("user_id", micros.alias("ms"), F.col("event_id").alias("seq"), kind.alias("type"), F.lit("").alias("message"))
+    return M.job_status(jobs, "user_id", 86_400_000_000, F.lit(last)).select("user_id", "status")
+
+
+def _as_images(spark, d):
+    """Documents as page images: their text behind a mark of the type, by doc_id."""
+    marks = {0: "FFD8FF", 1: "89504E470D0A1A0A", 2: "524946460000000057454250", 3: "00"}
+    mark = F.expr("CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN X'{m}'" for k, m in marks.items()) + " END")
+    return table(spark, d, "documents").select("doc_id", F.concat(mark, F.encode("text", "UTF-8")).alias("image"))
+
+
+_MARK = "CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 8 WHEN 2 THEN 12 ELSE 1 END"
+_TRIMMED = f"regexp_replace(text, '^{WS}+|{WS}+$', '', 'g')"
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(f"SELECT doc_id, md5({_TRIMMED}) AS ocr, CASE doc_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' ELSE 'image/png' END AS vlm, CASE WHEN strlen(text) + {_MARK} > 3000 THEN 'granite-docling: image too large (' || (strlen(text) + {_MARK}) || ' > 3000 bytes)' WHEN doc_id % 10 < 2 THEN md5('') ELSE md5({_TRIMMED}) END AS layout FROM documents")
+def engine_adapters(spark, d):
+    """The three adapters around models that read the text behind the mark; the third is sure of doc_id % 10 tenths, which it reads off the image's end."""
+    size = {0xFF: 3, 0x89: 8, 0x52: 12, 0: 1}
+    words = lambda image: image[size[image[0]] :].decode()
+    ocr = E.reader("rapidocr", E.trimmed(lambda image: (words(image), 0.9)))
+    vlm = E.reader("vlm", E.vision(lambda image, mime: f" {mime}\n"))
+    layout = E.reader("granite-docling", E.layout_reader(E.Session(lambda: lambda fed: fed), lambda image: image, lambda out: (words(out[:-1]), out[-1] / 10), 3001))
+    rows = _as_images(spark, d).withColumn("fed", F.concat("image", F.unhex(F.lpad(F.hex(F.col("doc_id") % 10), 2, "0"))))
+    got = rows.select("doc_id", ocr.recognize(F.col("image")).alias("a"), vlm.recognize(F.col("image")).alias("b"), layout.recognize(F.col("fed")).alias("c"))
+    error = F.expr("regexp_replace(regexp_replace(c.error, '3001', '3000'), '[(][0-9]+', concat('(', cast(regexp_extract(c.error, '[(]([0-9]+)', 1) AS int) - 1))")
+    return got.select("doc_id", F.md5(F.col("a.text").cast("binary")).alias("ocr"), F.col("b.text").alias("vlm"), F.coalesce(error, F.md5(F.col("c.text").cast("binary"))).alias("layout"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN NULL WHEN doc_id % 100 = 8 THEN NULL ELSE length(text) END::INT AS n, CASE WHEN doc_id % 100 = 7 THEN 'slow timed out after 1500ms' WHEN doc_id % 100 = 8 THEN 'broken' ELSE '' END AS error FROM documents")
+def page_timeouts(spark, d):
+    """Of every hundred pages one hangs and one fails; both are their own errors, and no other page waits for them."""
+    def read(image: str):
+        number, _, text = image.partition("|")
+        if int(number) % 100 == 7:
+            time.sleep(20)
+        if int(number) % 100 == 8:
+            raise ValueError("broken")
+        return str(len(text)), None
+
+    slow = E.reader("slow", read, 1500)
+    rows = table(spark, d, "documents").select("doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), "text").alias("image"))
+    got = rows.select("doc_id", slow.recognize(F.col("image")).alias("r"))
+    return got.select("doc_id", F.col("r.text").cast("int").alias("n"), F.coalesce("r.error", F.lit("")).alias("error"))
+
+
+_LETTERS = "abcdef"
+
+
+def drawn_page(number: int):
+    """A white page of 96 x 96 with ``number`` % 4 grey bars and a speck; a bar's grey says its letter."""
+    page = np.full((96, 96, 3), 255, np.uint8)
+    for i in range(number % 4):
+        page[8 + 24 * i : 20 + 24 * i, 20:76] = 20 * ((number + i) % 6 + 1)
+    page[88:90, 4:6] = 0
+    return page
+
+
+def page_reader() -> U.Runner:
+    """A runner with models made by rule: dark pixels are text; a bar is read as its letter, the last one unsurely, and 'e' not at all."""
+
+    def detect(tensor):
+        return (tensor[0, 0] < 1.0).astype(np.float32) * 0.95
+
+    def recognize(tensor):
+        inside = tensor[0, 0][tensor[0, 0] < 0.9]
+        letter = int(round((float(np.median(inside)) + 1) * 127.5 / 20))
+        if letter == 5:
+            raise ValueError("no such letter")
+        steps = np.zeros((3, 8))
+        steps[[0, 1, 2], [0, letter, letter]] = 0.5 if letter == 6 else 0.97
+        return steps
+
+    return U.Runner(detect, recognize, list(_LETTERS), side=96)
+
+
+@query(f"""WITH b AS (SELECT vec_id, i, (vec_id + i) % 6 AS k FROM (SELECT vec_id, unnest(range(0, vec_id % 4)) AS i FROM embeddings))
+ SELECT v.vec_id, coalesce(string_agg(substr('{_LETTERS}', (k + 1)::INT, 1), chr(10) ORDER BY i) FILTER (k < 4), '') AS text, round(CASE WHEN count(*) FILTER (k < 4) > 0 THEN 0.97 ELSE 0.0 END, 6)::DOUBLE AS confidence FROM embeddings v LEFT JOIN b USING (vec_id) GROUP BY v.vec_id""")
+def ocr_pages(spark, d):
+    """Detection, small boxes dropped, each box read by itself, unsure ones dropped, reading order, mean confidence."""
+
+    @F.pandas_udf("struct<text string, confidence double>")
+    def read(numbers):
+        runner = page_reader()
+        return pd.DataFrame([runner.page(drawn_page(int(n))) for n in numbers], columns=["text", "confidence"])
+
+    return table(spark, d, "embeddings").select("vec_id", read("vec_id").alias("r")).select("vec_id", "r.text", F.round("r.confidence", 6).alias("confidence"))
+
+
+@query("SELECT doc_id, i::INT AS index, md5(line) AS digest, '' AS error FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 9 > 0) UNION ALL SELECT doc_id, NULL, NULL, 'cannot open' FROM documents WHERE doc_id % 9 = 0")
+def pdf_text_layer(spark, d):
+    """PDFs whose injected opener takes the lines behind the mark as pages."""
+
+    def open_text(content: bytes):
+        number, _, text = content[4:].decode().partition("|")
+        if int(number) % 9 == 0:
+            raise ValueError("cannot open")
+        return text.split("\n")
+
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.expr("X'25504446'"), F.encode(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), "UTF-8")).alias("content"))
+    return pdf.text_layer(docs, open_text).select("doc_id", "index", F.md5(F.col("text").cast("binary")).alias("digest"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+_WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+@query(_WINDOWS)
 def event_windows(spark, d):
     return ingest.event_counts(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(_WINDOWS)
 def stream_event_windows(spark, d):
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return ingest.drained(ingest.event_counts(stream), f"event_windows_{uuid.uuid4().hex}")
+    found = ingest.drained(ingest.event_counts(stream), f"event_windows_{uuid.uuid4().hex}")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

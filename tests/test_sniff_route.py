@@ -39,7 +39,7 @@ ROUTES = [
 def test_routes(spark):
     c = F.col
     rows = spark.createDataFrame([(k, *r[:7]) for k, r in enumerate(ROUTES)], "k int, kind string, pages int, scanned boolean, script string, runtime string, gpu boolean, vlm boolean")
-    plan = R.route(c("kind"), c("pages"), c("scanned"), c("script"), c("runtime"), c("gpu"), F.array(F.lit("latin"), F.lit("arabic")), vlm=c("vlm"))
+    plan = R.route(has_webgpu="gpu", available_scripts="array('latin', 'arabic')", vlm="vlm")
     out = rows.withColumn("s", plan).select("k", F.array_join(F.transform("s", lambda s: F.concat(s["engine"], F.lit("@"), s["location"])), " ").alias("p"), R.summary(c("kind"), c("pages"), c("script"), c("s")).alias("r")).orderBy("k").collect()
     assert [r["p"] for r in out] == [r[-1] for r in ROUTES]
     assert out[11]["r"] == "pdf, 8p, latin → rapidocr → granite-docling"
