@@ -6,7 +6,8 @@ keep without one of its rules, reads the ledger and no text. All of it is Column
 projection; nothing is shuffled.
 
 Defined results: null and empty texts have every count 0 and fail ``few_words``; repeated rows and
-null ids stay as they are; an empty table gives an empty table; other columns are not read.
+null ids stay as they are; an empty table gives an empty table; other columns, whatever their names, are not read; a
+text of any length is measured whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, WORD
+from .common import UPPER, WORD, Scratch
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -100,21 +101,30 @@ def mask(policy: str | list[str]) -> int:
 _FIELDS = {"n_words": "w.n_words", "n_dup_lines": "l.n_dup_lines", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines"}
 
 
+def _bits(at: str = "") -> str:
+    """fail_bits as SQL over the measurements, whose names begin with ``at``."""
+    return " + ".join(f"if({re.sub(r'\b(n_[a-z_]+|word_chars)\b', at + r'\1', rule)}, {BIT[name]}L, 0L)" for name, rule in RULES.items())
+
+
 def kept_rows(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """All columns of ``docs`` (with a text column) for the rows that ``policy`` keeps, which is a condition on the row itself."""
+    """All columns of ``docs`` (with a text column) for the rows that ``policy`` keeps: its mask over the row's own bits, so nothing is joined."""
     named = "_quality_measurements"
     judged = docs.withColumn(named, F.explode(F.array(measurements(F.col("text")))))
     flat = judged.select("*", F.struct(*[F.col(f"{named}.{_FIELDS.get(c, c)}").alias(c) for c in MEASURES]).alias(named + "_"))
-    failed = [re.sub(r"\b(n_[a-z_]+|word_chars)\b", rf"{named}_.\1", RULES[r]) for r in dict.fromkeys(POLICIES["base"] + POLICIES[policy])]
-    return flat.where("not (" + " or ".join(f"({f})" for f in failed) + ")").select(*docs.columns)
+    both = mask(list(dict.fromkeys(POLICIES["base"] + POLICIES[policy])))
+    return flat.where(F.expr(f"({_bits(named + '_.')}) & {both}L") == 0).select(*docs.columns)
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, measurements, fail_bits) for every row of ``docs`` (doc_id, text)."""
     made = docs.select(F.col("doc_id"), F.explode(F.array(measurements(F.col("text")))).alias("m"))
     flat = made.select("doc_id", *[F.col(f"m.{_FIELDS.get(c, c)}").alias(c) for c in MEASURES])
-    bits = " + ".join(f"if({rule}, {BIT[name]}L, 0L)" for name, rule in RULES.items())
-    return flat.withColumn("fail_bits", F.expr(bits))
+    return flat.withColumn("fail_bits", F.expr(_bits()))
+
+
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table, which any number of policies and ablations read instead of the texts."""
+    return Scratch(docs.sparkSession, "quality").keep(ledger(docs), "ledger")
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:

@@ -37,7 +37,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")))
+    return quality.apply_policy(quality.stored_ledger(_table(spark, sf_dir, "documents")))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

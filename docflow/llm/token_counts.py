@@ -1,14 +1,14 @@
 """Token counts with a whole-token shortcut.
 
-Offline, once: every vocabulary string that can be a pre-token is given to the BPE model, and those that
-come back as one token are proved whole. Counting then takes each pre-token in that set as one token
+Offline, once on the driver: every vocabulary string that can be a pre-token is given to the BPE model, and
+those that come back as one token are proved whole and broadcast (at most the vocabulary). Counting then takes each pre-token in that set as one token
 and merges only the rest. White space never lies inside a token of this tokenizer, so texts are cut at
 white space and the count of a distinct chunk is remembered (in bounded memory) and added up.
 Strings of added tokens inside texts count as the library's default does.
 
 One scan, nothing is shuffled. Defined results: a null text counts as empty, 0 bytes and 0 tokens;
 repeated rows and null ids stay as they are; an empty table gives an empty table; other columns are
-not read.
+not read, whatever their names; a text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ def whole_tokens(file: str) -> frozenset[str]:
 
 
 class ChunkCounts(vocab.Remembered):
-    def __init__(self, file: str):
+    def __init__(self, file: str, whole: frozenset[str]):
         super().__init__()
-        self.tokenizer, self.whole = vocab.load(file), whole_tokens(file)
+        self.tokenizer, self.whole = vocab.load(file), whole
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def pieces(self, pieces: list[str]) -> int:
@@ -57,13 +57,14 @@ class ChunkCounts(vocab.Remembered):
 
 
 @lru_cache(4)
-def _counts(file: str) -> ChunkCounts:
-    return ChunkCounts(file)
+def _counts(file: str, whole) -> ChunkCounts:
+    return ChunkCounts(file, whole.value)
 
 
-def _count(file: str, limit: int):
+def _count(file: str, whole, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counts(file).__getitem__
+        # A worker process has one object for a broadcast value, so what it remembers lasts from task to task.
+        count = _counts(file, whole).__getitem__
         for part, texts in slices(batches):
             sizes = [len(t or b"") for t in texts]
             tokens = [sum(map(count, t.split())) if t else 0 for t in texts]
@@ -75,4 +76,5 @@ def _count(file: str, limit: int):
 def token_counts(docs: DataFrame, file: str | None = None, limit: int = LIMIT) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_count(file or vocab.path(TOKENIZER), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    file = file or vocab.path(TOKENIZER)
+    return rows.mapInArrow(_count(file, docs.sparkSession.sparkContext.broadcast(whole_tokens(file)), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

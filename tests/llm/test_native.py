@@ -23,15 +23,16 @@ def measured(text):
 
 def test_quality_equals_brute_force(spark):
     r = random.Random(5)
-    texts = [" ".join(r.choice(["a", "b", "é🎉", "c#", "THE", "x\ny", "\t", "d|"]) for _ in range(r.randint(0, 90))) for _ in range(60)] + [None, "", "\n\n", "a a a a", "a\na\n \na", "x" * 5000]
+    texts = [" ".join(r.choice(["a", "b", "é🎉", "c#", "THE", "x\ny", "\t", "d|"]) for _ in range(r.randint(0, 90))) for _ in range(60)] + [None, "", "\n\n", "a a a a", "a\na\n \na", "x" * 5000, "word " * 60_000]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_words long")
-    rows = Q.apply_policy(Q.ledger(docs)).orderBy("doc_id").collect()
+    ledger = Q.stored_ledger(docs)
+    rows = Q.apply_policy(ledger).orderBy("doc_id").collect()
     assert [(x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) for x in rows] == [measured(t) for t in texts]
     for x in rows:
         assert x["base_failed"] == (x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"]) and not (x["base_failed"] and x["kept"])
     kept = {x["doc_id"] for x in rows if x["kept"]}
     assert {x["doc_id"] for x in Q.kept_rows(docs).collect()} == kept and Q.kept_rows(docs).columns == docs.columns
-    parts = {a["rule"]: a for a in Q.ablations(Q.ledger(docs)).collect()}
+    parts = {a["rule"]: a for a in Q.ablations(ledger).collect()}
     for rule, a in parts.items():
         rest = Q.mask([p for p in Q.POLICIES["v1"] if p != rule])
         assert a["kept"] == len(kept) and a["kept_without"] == sum(1 for x in rows if not x["fail_bits"] & rest)
@@ -49,7 +50,7 @@ def test_templates(spark):
     items = spark.createDataFrame([(10, ITEM, 0), (11, "1 2 3 4 5 6 7 8 9 10", 0), (12, None, 0), (13, "a totally different benchmark question about the length of rivers and the height of mountains", 0)], "item_id long, text string, doc_id long")
     pairs = {(r["doc_id"], r["item_id"]): r for r in contamination(docs, items).collect()}
     assert pairs[1, 10]["consistent"] and pairs[2, 10]["consistent"] and not pairs[3, 10]["consistent"]
-    assert {r["doc_id"] for r in contaminated(docs, items).collect()} == {1, 2} | ({7} if (7, 10) in pairs else set())
+    assert {r["doc_id"] for r in contaminated(docs, items).collect()} == {1, 2, 7}
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
 
 

@@ -31,7 +31,7 @@ def test_random_texts_encode_as_the_library_does(monkeypatch, block):
     r = random.Random(3)
     letters = ["a", " ", "\n", "\n\n", "B", "ab.", "r", "'s", "1", "\xa0", "é", "!", "  ", "\t", "<|endoftext|>", "—", "́", "​", " ", "ß"]
     pieces, tokenizer = S.PieceIds(vocab.path(S.TOKENIZER), 4), vocab.load(vocab.path(S.TOKENIZER))
-    counts, other = C.ChunkCounts(vocab.path(C.TOKENIZER)), vocab.load(vocab.path(C.TOKENIZER))
+    counts, other = C.ChunkCounts(vocab.path(C.TOKENIZER), C.whole_tokens(vocab.path(C.TOKENIZER))), vocab.load(vocab.path(C.TOKENIZER))
     for _ in range(1500):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 10)))
         assert np.frombuffer(pieces.text(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
