@@ -109,6 +109,8 @@ def _bits(at: str = "") -> str:
 def kept_rows(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """All columns of ``docs`` (with a text column) for the rows that ``policy`` keeps: its mask over the row's own bits, so nothing is joined."""
     named = "_quality_measurements"
+    while any(c.lower().startswith(named) for c in docs.columns):
+        named = "_" + named
     judged = docs.withColumn(named, F.explode(F.array(measurements(F.col("text")))))
     flat = judged.select("*", F.struct(*[F.col(f"{named}.{_FIELDS.get(c, c)}").alias(c) for c in MEASURES]).alias(named + "_"))
     both = mask(list(dict.fromkeys(POLICIES["base"] + POLICIES[policy])))

@@ -48,6 +48,24 @@ def test_stages_work_by_row(spark, tmp_path):
     assert stages["token_store"](spark, left, str(tmp_path)).count() == 6
 
 
+def test_empty_tables_clashing_names_and_texts_without_words(spark, tmp_path):
+    spark.createDataFrame([(1, "a question of a few words that is asked nowhere else")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = "doc_id long, text string, lang string, source string, n_chars long, _row string, component_id long, _quality_measurements int, n_tokens int, probability int, row int, hash int, kind string"
+    extra = ("r", 1, 2, 3, 4, 5, 6, "k")
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    r = random.Random(7)
+    text = " ".join(r.choice(words) for _ in range(90))
+    rows = [(1, text, "en", "a", 5, *extra), (2, text + " end", "en", "a", 5, *extra), (3, None, None, None, None, *extra), (4, "", "en", "a", 0, *extra)]
+    docs, stages = spark.createDataFrame(rows, names), corpus_pipeline.STAGES
+    for name, stage in stages[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns and all(tuple(x)[5:] == extra for x in left.collect()), name
+        assert {x["doc_id"] for x in left.collect()} == ({1, 2} if name == "quality_rules" else {1, 3, 4} if "dedup" in name else {1, 2, 3, 4}), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    out = {x["doc_id"]: x["n_tokens"] for x in stages[-1][1](spark, docs, str(tmp_path)).collect()}
+    assert out[3] == out[4] == 1 and len(out) == 4 and stages[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
