@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, small
@@ -57,8 +57,9 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def fit(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int = SWEEPS, tolerance: float = 1e-9, broadcast_cells: int = 1 << 16) -> DataFrame:
     """``cells`` (the dimensions, mass) with ``weight``. Ends after ``sweeps`` or once no factor of a sweep is off 1 by more than ``tolerance``.
 
-    Classes without a target keep their weight; a class with a target and no mass is left out. Class totals
-    are no more than cells, so they are broadcast if the cells are counted to be few, else joined by shuffle.
+    Classes without a target keep their weight; a class with a target and no mass is left out. Cells that are
+    counted to be few go into one partition, where class totals are windows: a sweep is one stage whose plan has its
+    input once. Joined totals, as for more cells, have it eight times, and each join a broadcast in the driver.
     """
     start = cells
     for name, target in targets.items():
@@ -66,10 +67,13 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweep
     now = scratch.keep(start.withColumn("weight", F.lit(1.0)).withColumn("off", F.lit(0.0)), "cells")
     few = now.limit(broadcast_cells + 1).count() <= broadcast_cells
     for _ in range(sweeps):
-        step = now.withColumn("off", F.lit(0.0))
+        step = (now.coalesce(1) if few else now).withColumn("off", F.lit(0.0))
         for name in targets:
-            total = step.groupBy(name).agg(F.sum(F.col("mass") * F.col("weight")).alias("total"))
-            step = step.join(F.broadcast(total) if few else total, name)
+            total = F.sum(F.col("mass") * F.col("weight"))
+            if few:
+                step = step.where(F.col(name).isNotNull()).withColumn("total", total.over(Window.partitionBy(name)))
+            else:
+                step = step.join(step.groupBy(name).agg(total.alias("total")), name)
             factor = F.coalesce(F.when(F.col("total") > 0, F.col(f"target_{name}") / F.nullif("total", F.lit(0.0))), F.lit(1.0))
             step = step.withColumn("factor", factor).withColumn("off", F.greatest("off", F.abs(F.col("factor") - 1))).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor", "total")
         new = scratch.keep(step, "cells")
