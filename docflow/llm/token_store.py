@@ -28,6 +28,7 @@ times its size.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import sys
@@ -38,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +51,9 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 1024  # ids
 SEEN = 1 << 16  # digests a task remembers, to drop its repeats before the shuffle
 FAN = 1 << 12  # children of a node in a part's Merkle tree
-JOINED = 1 << 18  # words with punctuation that are remembered
-BLOCK = 1 << 20  # bytes of a long text, or ids, that are worked on at once
+PIECES = 5 << 17  # pieces of a generation of those that are remembered
+BLOCK = 1 << 20  # bytes of a long text that are worked on at once
+NEAR = 1 << 15  # ids that are hashed at once, so that they stay in the processor's cache
 
 #: White space other than spaces and line ends: in ASCII, by first byte outside it, and outside it.
 OTHER = bytes([9, 11, 12, 13, 28, 29, 30, 31])
@@ -60,6 +63,9 @@ CUT = re.compile(rb"(?<=[^\x09-\x0d\x1c-\x20]) (?=[^\x09-\x0d\x1c-\x20])")
 #: Letters of vocab.PLAIN in UTF-8 and then punctuation, each of which is a pre-token by itself.
 SIMPLE = re.compile(rb"( ?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*)([!-&(-/:-@\[-`{-~]*)")
 
+#: The punctuation of SIMPLE.
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
 
 def has_wide_space(text: bytes) -> bool:
     return not text.isascii() and any(first in text and found.search(text) is not None for first, found in WIDE.items())
@@ -69,11 +75,10 @@ class PieceIds(vocab.Remembered):
     """Packed ids of ``b" " + piece``; a key that begins with a space stands for the piece without it."""
 
     def __init__(self, file: str, width: int):
-        super().__init__(1 << 19)
+        super().__init__(PIECES)
         self.tokenizer = vocab.load(file)
         self.merge = self.tokenizer.model.tokenize
-        self.letters = {c: vocab.spelled(chr(c)) for c in range(128, 0x250)}
-        self.space, self.kind, self.joined = vocab.spelled(" "), "H" if width == 2 else "I", {}
+        self.letters, self.space, self.kind = "".join(vocab.byte_letters()), vocab.spelled(" "), "H" if width == 2 else "I"
         self.line = self[b" \n"]
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -89,28 +94,31 @@ class PieceIds(vocab.Remembered):
     def whole(self, text: bytes) -> bytes:
         return self.pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
+    def merged(self, token: bytes) -> bytes:
+        """The packed ids of one pre-token, space included."""
+        return self.pack([t.id for t in self.merge(codecs.charmap_decode(token, "strict", self.letters)[0])])
+
     def __missing__(self, piece: bytes) -> bytes:
-        value = self.joined.get(piece)
-        if value is not None:
-            return value
         value = self.old.get(piece)
         if value is None:
-            m = SIMPLE.fullmatch(piece)
-            if m is None:
-                value = self.whole(piece[1:] if piece[:1] == b" " else b" " + piece)
-            elif m[2] and m[3]:
-                # Punctuation after a word is a pre-token of its own, so the word is looked up by itself.
-                value = self[m[1] + m[2]] + self[b" " + m[3]]
-                if len(piece) <= vocab.LONG:
-                    if len(self.joined) >= JOINED:
-                        self.joined.clear()
-                    self.joined[piece] = value
-                return value
+            # Punctuation after a word is a pre-token of its own, so the word is looked up by itself.
+            word = piece.rstrip(PUNCTUATION)
+            if not word.isalpha():
+                value = self.made(piece)
+            elif len(word) < len(piece):
+                value = self[word] + self[b" " + piece[len(word) :]]
             else:
-                letters = (m[2] or m[3]).decode().translate(self.letters)
-                value = self.pack([t.id for t in self.merge(letters if m[1] else self.space + letters)])
+                value = self.pack([t.id for t in self.merge(self.space + piece.decode())])
         return self.keep(piece, value)
 
+    def made(self, piece: bytes) -> bytes:
+        m = SIMPLE.fullmatch(piece)
+        if m is None:
+            return self.whole(piece[1:] if piece[:1] == b" " else b" " + piece)
+        if m[2] and m[3]:
+            return self[m[1] + m[2]] + self[b" " + m[3]]
+        return self.merged(piece[1:] if m[1] else b" " + piece)
+
     def text(self, text: bytes) -> bytes:
         if has_wide_space(text) or any(a in text for a in self.added):
             return self.whole(text)
@@ -126,15 +134,14 @@ class PieceIds(vocab.Remembered):
             first, *rest = CUT.split(text)
             return self[b" " + first] + b"".join(map(self.__getitem__, rest))
         # Of the line ends before a line the last is a pre-token of its own; those at the end of the text are one.
-        out, ends = [], 0
+        out, ends, get = [], 0, self.__getitem__
         for line in text.split(b"\n"):
             if line:
                 if ends:
                     out.append(self[b" " + b"\n" * (ends - 1)] + self.line if ends > 1 else self.line)
-                first, *rest = line.split(b" ")
-                if first:
-                    out.append(self[b" " + first])
-                out += map(self.__getitem__, rest)
+                words = line.split(b" ")
+                words[:1] = [b" " + words[0]] if words[0] else []
+                out += map(get, words)
                 ends = 0
             ends += 1
         if ends > 1:
@@ -153,9 +160,10 @@ _GEAR = mix(np.arange(1, (1 << 18) + 1, dtype=np.uint64))
 def cut_points(ids: np.ndarray, stops: np.ndarray) -> list[list[int]]:
     """Where each document's chunks end, for documents laid end to end in ``ids``."""
     marks = []
-    for at in range(0, len(ids), BLOCK):
+    step = min(BLOCK, NEAR)
+    for at in range(0, len(ids), step):
         low = max(0, at - WINDOW + 1)
-        h = _GEAR[ids[low : at + BLOCK].astype(np.int64) & 0x3FFFF]
+        h = _GEAR[ids[low : at + step].astype(np.int64) & 0x3FFFF]
         span = 1
         while span < WINDOW:
             h[span:] = h[span:] + (h[:-span] << np.uint64(span))
@@ -216,12 +224,11 @@ def _encode(file: str, end_id: int, width: int):
                         chunks.append((name, payload))
                 recipes.append((spread, doc, start - first, merkle(names), b"".join(names), sizes))
                 spread += 1
-            none, m = None, len(recipes)
             for k, rows in (("chunk", chunks), ("recipe", recipes)):
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    values = [[k] * len(rows), *cols, *[[none] * len(rows)] * 6] if k == "chunk" else [[k] * m, [none] * m, [none] * m, *cols]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
+                    values = [[k] * len(rows), *cols, *[None] * 6] if k == "chunk" else [[k] * len(rows), None, None, *cols]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) if v is None else pa.array(v, f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
 
     return run
 
@@ -329,14 +336,16 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 def _check_chunks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, sizes = [], []
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if hashlib.blake2b(payload, digest_size=16).digest() != name:
+            names, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, payload in zip(names, payloads, strict=True):
+                if hashlib.blake2b(payload, digest_size=16).digest() != name or len(payload) % width:
                     raise ValueError(f"chunk {name.hex()} does not match its digest")
-                ids = np.frombuffer(payload, f"<u{width}")
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int32())], ["digest", "crc", "n"])
+            # The ids of a batch are widened at once.
+            wide = memoryview(np.frombuffer(b"".join(payloads), f"<u{width}").astype("<u4").tobytes())
+            sizes = np.fromiter(map(len, payloads), np.int64, len(payloads)) // width
+            stops = (4 * np.cumsum(sizes)).tolist()
+            crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(sizes.astype(np.int32))], ["digest", "crc", "n"])
 
     return run
 
@@ -344,17 +353,20 @@ def _check_chunks(width: int):
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (part, local, digest, n, after) per chunk of each recipe, whose root is checked first; after: bytes of 4-byte ids that follow."""
     for batch in batches:
-        rows = []
-        for part, local, n, root, names, sizes in zip(*(batch.column(c).to_pylist() for c in ("part", "local", "n_tokens", "root", "digests", "lengths")), strict=True):
-            leaves = [names[i : i + 16] for i in range(0, len(names), 16)]
-            if merkle(leaves) != root or sum(sizes) != n:
-                raise ValueError(f"recipe at {local} of part {part} does not match its root")
-            for name, size in zip(leaves, sizes, strict=True):
-                n -= size
-                rows.append((part, local, name, size, 4 * n))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "local", "digest", "size", "after"])
+        part, local, n, root, digests, lengths = (batch.column(c) for c in ("part", "local", "n_tokens", "root", "digests", "lengths"))
+        many, names = np.asarray(pc.fill_null(pc.list_value_length(lengths), 0), np.int64), digests.to_pylist()
+        sizes = np.asarray(lengths.flatten(), np.int64)
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        stops = np.cumsum(many)
+        even = before[stops] - before[stops - many] == np.asarray(n, np.int64)
+        for at, (k, own, leaf, right) in enumerate(zip(many.tolist(), names, root.to_pylist(), even.tolist(), strict=True)):
+            if not right or len(own) != 16 * k or merkle([own[i : i + 16] for i in range(0, len(own), 16)]) != leaf:
+                raise ValueError(f"recipe at {local[at].as_py()} of part {part[at].as_py()} does not match its root")
+        offsets = pa.py_buffer(np.arange(0, 16 * len(sizes) + 1, 16, dtype=np.int32))
+        digest = pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, pa.py_buffer(b"".join(names))])
+        after = 4 * (np.repeat(before[stops], many) - before[1:])
+        cols = [np.repeat(np.asarray(part, np.int32), many), np.repeat(np.asarray(local, np.int64), many), digest, sizes.astype(np.int32), after]
+        yield pa.RecordBatch.from_arrays([c if c is digest else pa.array(c) for c in cols], ["part", "local", "digest", "size", "after"])
 
 
 def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

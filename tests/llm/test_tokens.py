@@ -111,3 +111,53 @@ def test_cuts_do_not_depend_on_blocks(monkeypatch):
         monkeypatch.setattr(S, "BLOCK", block)
         whole.append(S.cut_points(ids, stops))
     assert whole[0] == whole[1] and [c[-1] for c in whole[0]] == stops.tolist()
+
+
+def test_pieces_with_punctuation_are_remembered_like_words(monkeypatch):
+    tokenizer = vocab.load(vocab.path(S.TOKENIZER))
+    pieces = S.PieceIds(vocab.path(S.TOKENIZER), 4)
+    text = "plain words, (in) été... été, \"quoted\" A.B. don't, ß! 12,\n (again) words, été..."
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(pieces.text(text.encode()), "<u4").tolist() == want
+    assert all(p.encode() in pieces for p in ("words,", "été...", "été,", "A.B.", " plain"))
+    # A text of known pieces is looked up and nothing else.
+    monkeypatch.setattr(S.PieceIds, "__missing__", lambda self, piece: pytest.fail(f"{piece} is not remembered"))
+    assert np.frombuffer(pieces.text(text.encode()), "<u4").tolist() == want
+
+
+def test_chunks_are_checked_one_by_one():
+    import hashlib
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    for width in (2, 4):
+        ids = [r.integers(0, 50000, n).astype(f"<u{width}") for n in (1, 0, 700, 64)]
+        batch = lambda rows: pa.record_batch([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in rows], pa.binary()), pa.array(rows, pa.binary())], ["digest", "payload"])
+        rows = [x.tobytes() for x in ids]
+        out, none = S._check_chunks(width)(iter([batch(rows), batch([])]))
+        assert out.column(1).to_pylist() == [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+        assert out.column(2).to_pylist() == [1, 0, 700, 64] and none.num_rows == 0
+        with pytest.raises(ValueError, match="does not match its digest"):
+            list(S._check_chunks(width)(iter([batch([rows[0], rows[2][:-1]])])))
+
+
+def test_recipes_are_checked_one_by_one():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    sizes = [[5], [64, 1024, 1], [70, 3]]
+    names = [r.bytes(16 * len(x)) for x in sizes]
+    roots = [S.merkle([x[i : i + 16] for i in range(0, len(x), 16)]) for x in names]
+    kinds = {"part": pa.int32(), "local": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary(), "digests": pa.binary(), "lengths": pa.list_(pa.int32())}
+
+    def rows(**other):
+        values = {"part": [3, 3, 4], "local": [0, 5, 9], "n_tokens": [sum(x) for x in sizes], "root": roots, "digests": names, "lengths": sizes} | other
+        batch = pa.record_batch([pa.array(values[k], t) for k, t in kinds.items()], list(kinds))
+        return [list(zip(*b.to_pydict().values(), strict=True)) for b in S._spread(iter([batch, batch.slice(0, 0), batch.slice(1)]))]
+
+    want = [(p, at, x[16 * i : 16 * i + 16], y[i], 4 * sum(y[i + 1 :])) for p, at, x, y in zip([3, 3, 4], [0, 5, 9], names, sizes, strict=True) for i in range(len(y))]
+    assert rows() == [want, [], want[1:]]
+    for bad in ({"root": [roots[0], roots[2], roots[1]]}, {"lengths": [[5], [64, 1025], [70, 3]]}, {"lengths": [[5], [64, 1024, 1], [73]]}, {"n_tokens": [5, 1089, 74]}, {"digests": [names[0], names[1], names[2][:-1]]}):
+        with pytest.raises(ValueError, match="recipe at . of part . does not match its root"):
+            rows(**bad)
