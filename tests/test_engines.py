@@ -74,6 +74,40 @@ def test_pages_that_hang_or_fail_do_not_hold_up_the_route(spark):
     assert r["text"] == "some text" and r["meta"]["pages_processed"] == 3 and time.time() - began < 18
 
 
+def test_pages_that_hang_are_waited_for_together():
+    def read(x):
+        if x % 10 == 7:
+            time.sleep(5)
+        if x % 10 == 8:
+            raise ValueError("broken")
+        return x
+
+    began = time.time()
+    got = list(E.each_within(400, "slow", read, iter([range(100), [], range(100, 300)])))
+    assert [len(b) for b in got] == [100, 0, 200] and time.time() - began < 4  # 30 hang: 12 s one after the other
+    for x, (value, error) in enumerate(a for b in got for a in b):
+        assert str(error) == {7: "slow timed out after 400ms", 8: "broken"}.get(x % 10, "None") and value == (None if error else x)
+    # A page that is late but within its deadline counts.
+    late = list(E.each_within(2000, "x", lambda s: time.sleep(s) or s, [[0.01] * 20 + [0.5], [0.01]]))
+    assert [v for b in late for v, _ in b] == [0.01] * 20 + [0.5, 0.01]
+    assert list(E.each_within(0, "x", {1: 2}.get, [[1, 3]])) == [[(2, None), (None, None)]]
+
+
+def test_batches_to_python_are_bounded(spark):
+    limits = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k, None) for k in limits]
+    try:
+        for start, want in (([None, None], ["2048", str(1 << 20)]), (["100", "64k"], ["100", "64k"]), (["0", "8m"], ["2048", str(1 << 20)])):
+            for make in (E.reader("x", lambda image: ("", None)).recognize, files.extract_docx, files.extract_xlsx, catalog._container(len)):
+                for k, v in zip(limits, start, strict=True):
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+                make(F.col("content"))
+                assert [spark.conf.get(k) for k in limits] == want
+    finally:
+        for k, v in zip(limits, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_tensors_have_the_shapes_of_the_column_forms(spark):
     sizes = [(800, 600), (90, 2000), (31, 17), (736, 736)]
     rows = spark.createDataFrame([(float(w), float(h)) for w, h in sizes], "w double, h double").select(O.det_size(F.col("w"), F.col("h")).alias("s"), O.rec_width(F.col("w"), F.col("h")).alias("r")).collect()
