@@ -41,7 +41,8 @@ def utf16_length(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{JSWS}+|{JSWS}+$", "")
+    # \z, since $ also matches before a last line end; a run is tried from its start only, so that long ones take linear time.
+    return F.regexp_replace(text, rf"^{JSWS}+|(?<!{JSWS}){JSWS}++\z", "")
 
 
 def collapse(text: Column) -> Column:
@@ -101,3 +102,8 @@ def language_plan(detected: Column, cached: Column) -> Column:
 
 def utf8_sample(content: Column, size: int = SAMPLE_BYTES) -> Column:
     return decode_utf8(F.substring(content, 1, size))
+
+
+def character_sample(content: Column, size: int = SAMPLE_BYTES) -> Column:
+    """The first ``size`` code points, which have four bytes at most."""
+    return F.substring(F.make_valid_utf8(F.substring(content, 1, 4 * size).cast("string")), 1, size)

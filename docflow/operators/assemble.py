@@ -20,25 +20,31 @@ SOURCE_OF = "CASE WHEN size(pages_out) = 0 THEN 'none' WHEN size(array_distinct(
 JOINED = r"array_join(filter(pages_out.text, t -> t <> ''), '\n\n')"
 
 
-def meta(pages: str = "pages") -> Column:
-    """Counts of pages_out and text; ``pages``: an expression of the profile's page count."""
+UNITS = "cast(octet_length(encode(text, 'UTF-16BE')) / 2 AS int)"
+
+
+def meta(pages: str = "pages", code_points: bool = False) -> Column:
+    """Counts of pages_out and text, the latter in UTF-16 units or ``code_points``; ``pages``: an expression of the profile's page count."""
     count = lambda source: f"size(filter(pages_out.source, s -> s = '{source}'))"
     return F.expr(f"""named_struct('pages_processed', size(pages_out), 'total_pages', CASE WHEN size(pages_out) > 0 THEN size(pages_out) WHEN {pages} > 0 THEN {pages} ELSE 1 END,
-     'native_pages', {count("native")}, 'ocr_pages', {count("ocr")}, 'vlm_pages', {count("vlm")}, 'truncated', false, 'chars', cast(octet_length(encode(text, 'UTF-16BE')) / 2 AS int))""")
+     'native_pages', {count("native")}, 'ocr_pages', {count("ocr")}, 'vlm_pages', {count("vlm")}, 'truncated', false, 'chars', {'length(text)' if code_points else UNITS})""")
 
 
-def documents(rows: DataFrame) -> DataFrame:
+def documents(rows: DataFrame, code_points: bool = False) -> DataFrame:
     """``rows`` (pages_out, pages) with text, source and meta."""
     out = bound(rows, text=F.expr(JOINED), source=F.expr(SOURCE_OF))
-    return out.withColumn("meta", meta())
+    return out.withColumn("meta", meta(code_points=code_points))
 
 
-def limit_chars(rows: DataFrame, most: int = MAX_CHARS) -> DataFrame:
-    """Cuts text (not the pages) to ``most`` UTF-16 units, with a warning and the counts to match."""
+def limit_chars(rows: DataFrame, most: int = MAX_CHARS, code_points: bool = False) -> DataFrame:
+    """Cuts text (not the pages) to ``most`` UTF-16 units or ``code_points``, with a warning and the counts to match. 0 or less cuts nothing."""
+    if most <= 0:
+        return rows
+    prefix = F.substring("text", 1, most) if code_points else utf16_prefix(F.col("text"), most)
     over = F.col("meta.chars") > most
     note = f"concat('truncated_chars:', cast(meta.chars AS string), '_to_{most}')"
     counts = f"if(meta.chars > {most}, named_struct('pages_processed', meta.pages_processed, 'total_pages', meta.total_pages, 'native_pages', meta.native_pages, 'ocr_pages', meta.ocr_pages, 'vlm_pages', meta.vlm_pages, 'truncated', true, 'chars', {most}), meta)"
-    return rows.select(*[c for c in rows.columns if c not in ("text", "warnings", "meta")], F.when(over, utf16_prefix(F.col("text"), most)).otherwise(F.col("text")).alias("text"), F.expr(f"if(meta.chars > {most}, array_append(warnings, {note}), warnings)").alias("warnings"), F.expr(counts).alias("meta"))
+    return rows.select(*[c for c in rows.columns if c not in ("text", "warnings", "meta")], F.when(over, prefix).otherwise(F.col("text")).alias("text"), F.expr(f"if(meta.chars > {most}, array_append(warnings, {note}), warnings)").alias("warnings"), F.expr(counts).alias("meta"))
 
 
 def from_page_table(pages: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -155,7 +155,7 @@ def execute(routed: DataFrame, engines: Engines, images: DataFrame | None = None
     return documents(out)
 
 
-def execute_text(routed: DataFrame, engines: Engines, floor: int = FLOOR) -> DataFrame:
+def execute_text(routed: DataFrame, engines: Engines, floor: int = FLOOR, code_points: bool = False) -> DataFrame:
     """The same where every strategy is a text engine whose extractor is an expression: one projection, nothing is kept or shuffled."""
     tag = F.expr("strategies[0].engine")
     got = F
@@ -171,7 +171,7 @@ def execute_text(routed: DataFrame, engines: Engines, floor: int = FLOOR) -> Dat
         *[c for c in routed.columns if c != "content"], F.expr(f"if(_ok, {e}, cast(null AS string))").alias("engine"),
         F.expr("if(_ok, array(named_struct('index', 0, 'text', _trimmed, 'source', 'native')), array())").cast(PAGES).alias("pages_out"),
         F.expr(f"if(_ok, cast(array() AS array<string>), array({note}))").alias("warnings"),
-    ))
+    ), code_points)
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,7 @@ class Slot:
     when: Column | None = None
 
 
-def with_fallbacks(docs: DataFrame, slots: list[Slot], adequate: int = 3, keep: Callable[[DataFrame], DataFrame] = kept) -> tuple[DataFrame, DataFrame]:
+def with_fallbacks(docs: DataFrame, slots: list[Slot], adequate: int = 3, keep: Callable[[DataFrame], DataFrame] = kept, code_points: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents that a slot read: with engine, pages_out, text, source, meta; documents left for the route). Slot errors fall through silently."""
     todo, done = docs, None
     for slot in slots:
@@ -195,7 +195,7 @@ def with_fallbacks(docs: DataFrame, slots: list[Slot], adequate: int = 3, keep:
         hit = tried.where(good).select(*docs.columns, F.lit(slot.name).alias("engine"), page.alias("pages_out"), F.array().cast("array<string>").alias("warnings"), F.lit(1).alias("pages"))
         done = hit if done is None else done.unionByName(hit)
         todo = todo.where(~gate).unionByName(tried.where(~good).select(*docs.columns))
-    return (documents(done) if done is not None else documents(docs.limit(0).select("*", F.lit("").alias("engine"), F.array().cast(PAGES).alias("pages_out"), F.array().cast("array<string>").alias("warnings"), F.lit(1).alias("pages")))), todo
+    return (documents(done, code_points) if done is not None else documents(docs.limit(0).select("*", F.lit("").alias("engine"), F.array().cast(PAGES).alias("pages_out"), F.array().cast("array<string>").alias("warnings"), F.lit(1).alias("pages")))), todo
 
 
 def engine_label(source: Column, reader: str | None = None) -> Column:

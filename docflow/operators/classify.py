@@ -17,7 +17,9 @@ def kilobytes(n: Column) -> Column:
 
 
 def input_guard(size: Column, max_bytes: int = MAX_BYTES) -> Column:
-    """The warning of an input that is not parsed; null if it is."""
+    """The warning of an input that is not parsed; null if it is. With ``max_bytes`` 0 or less every input is."""
+    if max_bytes <= 0:
+        return F.lit(None).cast("string")
     large = F.concat(F.lit("input_too_large:"), kilobytes(size).cast("string"), F.lit("KB_exceeds_"), kilobytes(F.lit(max_bytes)).cast("string"), F.lit("KB"))
     return F.when(size == 0, "empty_input").when(size > max_bytes, large)
 
@@ -39,16 +41,22 @@ def probe_pages(pages: DataFrame, key: str = "doc_id", probe: int = PROBE_PAGES)
     return made.select(key, "pages", scanned(F.col("first"), F.col("digital"), F.col("scans")).alias("scanned"), T.dominant_script(F.struct(*T.SCRIPTS)).alias("script"))
 
 
-def profile(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """``docs`` (doc_id, content, filename[, mime]) with kind, sniff_warnings, pages, scanned, script, bytes and note.
+def profile(docs: DataFrame, pages: DataFrame | None = None, code_points: bool = False) -> DataFrame:
+    """``docs`` (doc_id, content, filename[, mime, declared]) with kind, sniff_warnings, pages, scanned, script, bytes and note.
+
+    ``declared`` is a kind that is known, so it is not sniffed; null where it is not. The script is told by the
+    first 8192 bytes, or ``code_points``.
 
     ``pages`` is the page table of the PDFs among them. A PDF without a row there could not be opened: it
     has 0 pages, an undecided scan, an unknown script, and a note.
     """
     mime = F.col("mime") if "mime" in docs.columns else None
-    out = T.bound(docs, _sniffed=S.sniff(F.col("content"), F.col("filename"), mime))
+    sniffed = S.sniff(F.col("content"), F.col("filename"), mime)
+    if "declared" in docs.columns:
+        sniffed = F.when(F.col("declared").isNull(), sniffed).otherwise(F.struct(F.col("declared").alias("kind"), F.array().cast("array<string>").alias("warnings")))
+    out = T.bound(docs, _sniffed=sniffed)
     pdf, texty = F.col("kind") == "pdf", F.col("kind").isin("text", "csv")
-    sample = F.when(F.col("_sniffed.kind").isin("text", "csv"), T.utf8_sample(F.col("content")))
+    sample = F.when(F.col("_sniffed.kind").isin("text", "csv"), (T.character_sample if code_points else T.utf8_sample)(F.col("content")))
     out = T.bound(out.select(*docs.columns, F.col("_sniffed.kind").alias("kind"), F.col("_sniffed.warnings").alias("sniff_warnings"), F.octet_length("content").alias("bytes"), sample.alias("_sample")), _tally=T.script_tally(F.col("_sample"))).drop("_sample")
     own = F.when(texty, T.dominant_script(F.col("_tally"))).otherwise("unknown")
     if pages is None:

@@ -32,13 +32,16 @@ class ParseOptions:
     route: RouteOptions = RouteOptions()
     engines: Engines = field(default_factory=default_engines)
     text_only: bool = False
+    #: Characters of text_only plans are code points, not UTF-16 units.
+    code_points: bool = False
 
 
 def parse(docs: DataFrame, options: ParseOptions | None = None, pages: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """Document records (COLUMNS) of ``docs`` (doc_id, content, filename[, mime]).
 
     ``pages``: text layers of the PDFs (doc_id, index, text); ``images``: their renderings (doc_id, index, image).
-    Empty and oversized inputs get a record with a warning. ``text_only`` promises that no page reader is
+    Empty and oversized inputs get a record with a warning; with max_bytes, floor and max_chars of 0 none is refused,
+    missed or cut. ``docs`` may have a column ``declared``, a kind that is not sniffed. ``text_only`` promises that no page reader is
     wired and all extractors are expressions; the plan is then one projection.
     """
     if docs is None:
@@ -47,14 +50,14 @@ def parse(docs: DataFrame, options: ParseOptions | None = None, pages: DataFrame
     guarded = docs.withColumn("_guard", input_guard(F.octet_length("content"), o.max_bytes))
     refused = guarded.where("_guard is not null").select("doc_id", "filename", F.lit("other").alias("kind"), F.lit("unknown").alias("script"), F.lit(None).cast("string").alias("engine"), F.array().cast(PAGES).alias("pages_out"), F.array("_guard").alias("warnings"), F.lit(0).alias("pages"))
     refused = documents(refused).withColumn("meta", F.col("meta").withField("total_pages", F.lit(0)))
-    routed = with_route(profile(guarded.where("_guard is null").drop("_guard"), pages), o.capabilities, o.route)
+    routed = with_route(profile(guarded.where("_guard is null").drop("_guard"), pages, o.code_points), o.capabilities, o.route)
     engines = o.engines
     if pages is not None and "pdfjs-text" not in engines.extractors:
         layer = pages.groupBy("doc_id").agg(F.expr("listagg(text, '\n\n') within group (order by index)").alias("_layer"))
         routed = routed.join(layer, "doc_id", "left").withColumn("content", F.when(F.col("kind") == "pdf", F.coalesce("_layer", F.lit("")).cast("binary")).otherwise(F.col("content"))).drop("_layer")
         engines = Engines({**engines.extractors, "pdfjs-text": plain_text(lambda c: c.cast("string"))}, engines.readers)
-    done = execute_text(routed, engines, o.floor) if o.text_only else execute(routed, engines, images, o.floor, o.max_pages)
-    return limit_chars(done.select(*COLUMNS).unionByName(refused.select(*COLUMNS)), o.max_chars).select(*COLUMNS)
+    done = execute_text(routed, engines, o.floor, o.code_points) if o.text_only else execute(routed, engines, images, o.floor, o.max_pages)
+    return limit_chars(done.select(*COLUMNS).unionByName(refused.select(*COLUMNS)), o.max_chars, o.code_points).select(*COLUMNS)
 
 
 def parse_with_fallbacks(docs: DataFrame, slots: list[Slot], options: ParseOptions | None = None, reader: str | None = None, **tables) -> DataFrame:
@@ -62,7 +65,7 @@ def parse_with_fallbacks(docs: DataFrame, slots: list[Slot], options: ParseOptio
     from ..functions.sniff import sniff
 
     sniffed = docs.withColumn("kind", sniff(F.col("content"), F.col("filename"))["kind"])
-    hits, rest = with_fallbacks(sniffed, slots)
+    hits, rest = with_fallbacks(sniffed, slots, code_points=options is not None and options.code_points)
     routed = parse(rest.drop("kind"), options, **tables).withColumn("engine", engine_label(F.col("source"), reader))
     return hits.withColumn("script", F.lit("unknown")).select(*COLUMNS).unionByName(routed)
 
