@@ -82,7 +82,8 @@ def _by_extractor(part: DataFrame, tag: str, extract: Callable[[Column], Column]
     return rows.select("*", F.when(got, page).otherwise(F.array().cast(PAGES)).alias("pages_out"), F.when(got, n).otherwise(0).alias("chars"), notes.alias("notes")).drop("_got", "_n")
 
 
-def _by_reader(part: DataFrame, tag: str, reader: Engine | None, images: DataFrame | None, floor: int, max_pages: int) -> DataFrame:
+def _by_reader(part: DataFrame, tag: str, reader: Engine | None, images: DataFrame | None, floor: int, max_pages: int, kinds: set[bool]) -> DataFrame:
+    """``kinds``: whether there are PDFs (True), others (False) or both in ``part``."""
     if reader is None:
         return _missed(part, F.lit(f"{tag}: engine not wired, skipping"))
     if not reader.available or reader.recognize is None:
@@ -90,12 +91,15 @@ def _by_reader(part: DataFrame, tag: str, reader: Engine | None, images: DataFra
     whole = part.where("kind <> 'pdf'").select("doc_id", F.lit(0).alias("index"), F.col("content").alias("image"))
     pages = whole
     capped = None
-    if images is not None:
-        # Only images of the documents that are left are read; they are not shuffled while those are few.
-        own = images.join(_few(part.where("kind = 'pdf'").select("doc_id")), "doc_id", "left_semi").select("doc_id", "index", "image")
-        # The budget cuts pages before any is recognised.
-        pages = whole.union(own.where(F.col("index") < max_pages) if max_pages > 0 else own)
-        capped = own.groupBy("doc_id").agg(F.count("*").alias("_all"))
+    if images is not None and True in kinds:
+        # Only images of the documents that are left are read, and the budget cuts pages before any is moved or
+        # recognised. While the documents are few no image is shuffled; else once, by document, and what is read off it
+        # stays there: a union would undo that, so there is none without need.
+        first = images.where(F.col("index") < max_pages) if max_pages > 0 else images
+        own = first.join(_few(part.where("kind = 'pdf'").select("doc_id")), "doc_id", "left_semi").select("doc_id", "index", "image")
+        pages = whole.union(own) if False in kinds else own
+        # Counts need no images, so they are not taken from the joined ones.
+        capped = images.groupBy("doc_id").agg(F.count("*").alias("_all"))
     read = bound(pages, _got=reader.recognize(F.col("image"))).drop("image")
     failed = F.when(F.col("_got.error").isNotNull(), F.concat(F.lit(f"{reader.name}: page "), F.col("index").cast("string"), F.lit(" failed ("), F.col("_got.error"), F.lit(")")))
     text = F.when(F.col("_got.error").isNull(), trim(F.coalesce("_got.text", F.lit("")))).otherwise("")
@@ -133,13 +137,15 @@ def execute(routed: DataFrame, engines: Engines, images: DataFrame | None = None
     ended = []
     for rank in range(DEPTH):
         ended.append(todo.where(step(rank).isNull()).select(*columns, "warnings", F.lit(None).cast("string").alias("engine"), F.array().cast(PAGES).alias("pages_out")))
-        # At most one value per engine of the routing table.
-        wanted = {r["e"] for r in todo.select(step(rank).alias("e")).where("e is not null").distinct().collect()}
+        # At most two values per engine of the routing table.
+        wanted: dict[str, set[bool]] = {}
+        for r in todo.select(step(rank).alias("e"), F.coalesce(F.col("kind") == "pdf", F.lit(False)).alias("pdf")).where("e is not null").distinct().collect():
+            wanted.setdefault(r["e"], set()).add(r["pdf"])
         tried = None
         for tag in (t for t in SOURCE if t in wanted):
             # At first every document is there, so the source is filtered; later the few that are left are joined with it.
             part = routed.withColumn("warnings", none).where(step(0) == tag) if rank == 0 else routed.select("doc_id", "content").join(_few(todo.where(step(rank) == tag)), "doc_id").select(*routed.columns, "warnings")
-            made = _by_extractor(part, tag, engines.extractors.get(tag), floor) if tag in TEXT_ENGINES else _by_reader(part, tag, engines.readers.get(tag), images, floor, max_pages)
+            made = _by_extractor(part, tag, engines.extractors.get(tag), floor) if tag in TEXT_ENGINES else _by_reader(part, tag, engines.readers.get(tag), images, floor, max_pages, wanted[tag])
             made = made.select(*columns, F.concat("warnings", "notes").alias("warnings"), F.lit(tag).alias("engine"), "pages_out", "chars")
             tried = made if tried is None else tried.unionByName(made)
         if tried is None:

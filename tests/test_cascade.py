@@ -98,3 +98,27 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("x" * 100)
     assert [r["filename"] for r in files.read_files(spark, str(tmp_path), 50).collect()] == ["a.txt"]
     assert [r["filename"] for r in files.oversized(spark, str(tmp_path), 50).collect()] == ["b.txt"]
+
+
+def test_images_are_shuffled_once_where_documents_are_many(spark, monkeypatch):
+    """Neither the pages that the budget cuts nor the texts read off the others move again, and counts move without images."""
+    monkeypatch.setattr(X, "_few", lambda df: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = []
+
+        def keep(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return df.localCheckpoint()
+
+        step = F.struct(F.lit("rapidocr").alias("engine"), F.lit("edge").alias("location"), F.lit("").alias("script"), F.lit("").alias("reason"))
+        docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(b"x").alias("content"), F.when(F.col("id") < 99, "pdf").otherwise("image").alias("kind"), F.lit(5).alias("pages"), F.array(step).alias("strategies"))
+        images = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("index")).withColumn("image", F.concat(F.lit("page "), "index"))
+        reader = X.Engine("rapidocr", lambda c: F.struct(c.alias("text"), F.lit(None).cast("string").alias("error")))
+        out = X.execute(docs, X.Engines({}, {"rapidocr": reader}), images, max_pages=2, keep=keep)
+        assert [(r["text"], r["warnings"]) for r in out.select("text", "warnings").distinct().collect()] == [("page 0\n\npage 1", ["page_budget: capped OCR/VLM at 2 of 5 pages"])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Images, the ids they are joined with, the documents and the counts.
+    assert max(p.count("Exchange hashpartitioning") for p in plans) == 4 and not any("Union" in p for p in plans)
