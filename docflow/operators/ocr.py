@@ -26,6 +26,8 @@ class DBParams:
 
 MIN_SIDE, BOX_CONFIDENCE, DOC_CONFIDENCE, LINE_GAP = 6, 0.60, 0.90, 5
 DET_SIDE, REC_HEIGHT, REC_WIDTH = 736, 48, 2048
+#: Bytes of the input tables for a task that sorts boxes; a size that Spark does not know is larger than any.
+SORT_BYTES, UNKNOWN_BYTES = 2 << 20, 1 << 60
 BOXES = "array<struct<points array<array<double>>, score double>>"
 
 
@@ -213,9 +215,18 @@ def gated_text(text: Column, conf: Column, floor: float = DOC_CONFIDENCE) -> Col
     return F.when((F.regexp_replace(text, JSWS, "") != "") & (conf < floor), "").otherwise(text)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to a partition per SORT_BYTES of the tables they come from, if the session has fewer: so what a task sorts does not grow with the input."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    n = sum(s for s in sizes if s < UNKNOWN_BYTES) // SORT_BYTES
+    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def reading_order(boxes: DataFrame, key: str = "page_id", gap: int = LINE_GAP) -> DataFrame:
     """``boxes`` (key, ord, top, left[, text]) with line and position. A line ends where the top is more than ``gap`` below the box before; ties go by text."""
     last = ["text"] if "text" in boxes.columns else []
+    boxes = spread(boxes, key)
     down = Window.partitionBy(key).orderBy("top", "left", "ord", *last)
     starts = (F.col("top") - F.lag("top").over(down) > gap).cast("int")
     lined = boxes.withColumn("_new", F.coalesce(starts, F.lit(0))).withColumn("line", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")

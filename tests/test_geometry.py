@@ -79,3 +79,19 @@ def test_text_boxes():
     assert [round(s, 3) for _, s in found] == [0.9, 0.7]
     box = found[0][0]
     assert box[:, 0].min() < 10 and box[:, 0].max() > 68 and (box >= 0).all()
+
+
+def test_tasks_that_sort_boxes_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    spark.range(20_000).select((F.col("id") % 5_000).alias("page_id"), F.col("id").alias("ord"), (F.col("id") * 7 % 40).alias("top"), (F.col("id") * 11 % 90).alias("left")).write.parquet(str(tmp_path / "boxes"))
+    boxes = spark.read.parquet(str(tmp_path / "boxes"))
+    want = sorted(map(tuple, O.reading_order(boxes).collect()))
+    assert O.spread(boxes, "page_id") is boxes  # small inputs are left alone
+    monkeypatch.setattr(O, "SORT_BYTES", 1 << 12)
+    dealt = O.spread(boxes, "page_id").rdd.getNumPartitions()
+    assert dealt > 10 and O.spread(boxes.union(boxes), "page_id").rdd.getNumPartitions() in (2 * dealt, 2 * dealt + 1)
+    assert sorted(map(tuple, O.reading_order(boxes).collect())) == want
+    assert "Exchange hashpartitioning(page_id" in (plan := O.reading_order(boxes)._jdf.queryExecution().executedPlan().toString()) and plan.count("Exchange") == 1
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1, 2, 3, 4)]), "page_id long, ord long, top long, left long")
+    assert O.spread(unknown, "page_id") is unknown
